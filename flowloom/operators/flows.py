@@ -314,7 +314,7 @@ def running_flow_state(flow_packets: DataFrame, by: str = "frame_no") -> DataFra
     An active limit bounds the ticks of a flow, and packets are summed per tick before the window.
     """
     steps = flow_packets.select(
-        *FLOW, F.col(by).alias("_step"), "frame_no", "ts_us", "a_ip", "a_port", "b_ip", "b_port", "protocol",
+        *FLOW, F.col(by).alias("_step"), "frame_no", "ts_us", "src_ip", "a_ip", "a_port", "b_ip", "b_port", "protocol",
         "flow_key", "is_new", "direction", "dns", "tls", "quic", *_increments(),
         *([F.col("tick_us")] if by == "tick_frame" else []),
     )
@@ -324,12 +324,13 @@ def running_flow_state(flow_packets: DataFrame, by: str = "frame_no") -> DataFra
         F.max("ts_us").alias("last_seen_us"),
         F.min("ts_us").alias("_first_us"),
         F.max("frame_no").alias("last_frame"),
+        F.max_by("src_ip", "frame_no").alias("last_src_ip"),
         F.max(F.col("is_new") & (F.col("direction") == "A_TO_B")).alias("_a_first"),
         *[F.sum(n).alias(n) for n in _SUMS],
         last_metadata("dns"), last_metadata("tls"), last_metadata("quic"), *tick,
     )
     upto = Window.partitionBy(*FLOW).orderBy("last_frame").rowsBetween(Window.unboundedPreceding, 0)
-    keep = [c for c in ("flow_key", "a_ip", "a_port", "b_ip", "b_port", "protocol", "last_seen_us", "last_frame")]
+    keep = [c for c in ("flow_key", "a_ip", "a_port", "b_ip", "b_port", "protocol", "last_seen_us", "last_frame", "last_src_ip")]
     return grouped.select(
         *FLOW,
         F.col("_step").alias(by),
