@@ -64,9 +64,9 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def r6(value: Column | str, name: str | None = None) -> Column:
+def r6(value: Column | str, name: str | None = None, digits: int = 6) -> Column:
     """Rounded to six places, and never the negative zero that compares unequal as text."""
-    out = F.round(value, 6) + F.lit(0.0)
+    out = F.round(value, digits) + F.lit(0.0)
     return out.alias(name or (value if isinstance(value, str) else "value"))
 
 

@@ -256,7 +256,7 @@ def new_flow_marks(spark, sf):
 
 @query("flow_records", sql("""select flow_start, a_ip, b_ip, protocol, start_us, last_seen_us, packets_a_to_b, packets_b_to_a, bytes_a_to_b, bytes_b_to_a,
   payload_a_to_b, payload_b_to_a, a_first as a_is_initiator, round(size_mean, 6) as size_mean, round(size_var, 6) as size_variance,
-  round(payload_var, 6) as payload_variance, gap_n as gap_count, round(gap_mean, 6) as gap_mean, round(gap_var, 6) as gap_variance from flows""", "flows"))
+  round(payload_var, 6) as payload_variance, gap_n as gap_count, round(gap_mean, 10) as gap_mean, round(gap_var, 6) as gap_variance from flows""", "flows"))
 def flow_records(spark, sf):
     return stages(spark, sf).flows.select(
         "flow_start", "a_ip", "b_ip", "protocol", "start_us", "last_seen_us", "packets_a_to_b", "packets_b_to_a",
@@ -264,7 +264,7 @@ def flow_records(spark, sf):
         c("payload_bytes_b_to_a").alias("payload_b_to_a"), "a_is_initiator",
         r6("packet_size_stats.mean", "size_mean"), r6("packet_size_stats.variance", "size_variance"),
         r6("payload_size_stats.variance", "payload_variance"), c("inter_arrival_stats.count").alias("gap_count"),
-        r6("inter_arrival_stats.mean", "gap_mean"), r6("inter_arrival_stats.variance", "gap_variance"),
+        r6("inter_arrival_stats.mean", "gap_mean", 10), r6("inter_arrival_stats.variance", "gap_variance"),
     )
 
 
@@ -532,13 +532,18 @@ def multi_window_rates(spark, sf):
                     r6(c("byte_count") / width, "bytes_per_second"), r6(c("flow_count") / width, "flows_per_second"))
 
 
+def digits(name: str) -> int:
+    """Means of microsecond gaps are shown to ten places: at six, half of a microsecond is a tie."""
+    return 10 if name in ("inter_arrival_mean", "mean_connection_interval") else 6
+
+
 # --- feature vectors ------------------------------------------------------------------------------
 @query("behaviour_features", sql("select flow_id, trigger_frame, window_id, complete as history_complete, " + ", ".join(
-    f"round(cast({e} as double), 6) as {n}" for n, e in BEHAVIOUR_COLUMNS.items()) + " from behaviour", "behaviour"))
+    f"round(cast({e} as double), {digits(n)}) as {n}" for n, e in BEHAVIOUR_COLUMNS.items()) + " from behaviour", "behaviour"))
 def behaviour_features(spark, sf):
     b = stages(spark, sf).behaviour
     return b.select(c("entity_id").alias("flow_id"), "trigger_frame", "window_id", c("feature__history_complete").alias("history_complete"),
-                    *[r6(f"feature__{n}", n) for n in BEHAVIOUR_COLUMNS])
+                    *[r6(f"feature__{n}", n, digits(n)) for n in BEHAVIOUR_COLUMNS])
 
 
 block("d", """select *, string_split(dns_name, '.') as labels, string_split(replace(dns_name, '.', ''), '') as chars,
@@ -571,7 +576,7 @@ def dns_features(spark, sf):
 
 @query("tls_quic_features", sql("""select flow_id, trigger_frame, window_id, duration as flow_duration_seconds, n::double as packet_count,
   (by_ab + by_ba)::double as total_bytes, round(size_mean, 6) as packet_size_mean, round(size_var, 6) as packet_size_variance,
-  round(gap_mean, 6) as inter_arrival_mean, round(gap_var, 6) as inter_arrival_variance, pk_ab::double as packets_a_to_b, round(by_ab / (by_ba + 1), 6) as directional_byte_ratio,
+  round(gap_mean, 10) as inter_arrival_mean, round(gap_var, 6) as inter_arrival_variance, pk_ab::double as packets_a_to_b, round(by_ab / (by_ba + 1), 6) as directional_byte_ratio,
   tls_version::double as tls_record_version, case when tls_version is not null then tls_ciphers::double end as tls_cipher_suite_count,
   case when tls_version is not null then tls_extensions::double end as tls_extension_count, f.bucket::double as tls_fingerprint_bucket,
   case when has_quic and tls_version is null then 1.0::double end as quic_version,
@@ -585,7 +590,7 @@ def tls_quic_features(spark, sf):
                "directional_byte_ratio", "destination_recurrence", "connection_frequency")
     t = stages(spark, sf).tls_quic()
     return t.select(c("entity_id").alias("flow_id"), "trigger_frame", "window_id", *[c(f"feature__{n}").alias(n) for n in exact],
-                    *[r6(f"feature__{n}", n) for n in rounded])
+                    *[r6(f"feature__{n}", n, digits(n)) for n in rounded])
 
 
 @query("feature_table", sql("""select case when t_udp > 0 then 'DDOS' else 'BENIGN' end as label, 'host:' || src_ip as group_id, 'events' as source_name, 'behaviour' as family,
@@ -724,7 +729,7 @@ def alert_lookup(spark, sf):
 
 
 EVIDENCE_SQL = sql("select alert_id, flow_start, trigger_frame, unnest([" + ", ".join(
-    f"{{'kind': 'evidence', 'name': '{n}', 'number': round(cast({e} as double), 6), 'flag': null::boolean}}" for n, e in BEHAVIOUR_COLUMNS.items())
+    f"{{'kind': 'evidence', 'name': '{n}', 'number': round(cast({e} as double), 10), 'flag': null::boolean}}" for n, e in BEHAVIOUR_COLUMNS.items())
     + ", {'kind': 'evidence', 'name': 'history_complete', 'number': null::double, 'flag': complete}"
     + "".join(f", {{'kind': 'capability', 'name': '{n}', 'number': null::double, 'flag': {x}}}" for n, x in zip(CAPABILITIES, (
         "true", "true", "true", "protocol = 'TCP'", "dns_name is not null", "dns_name is not null", "tls_version is not null",
@@ -734,7 +739,7 @@ EVIDENCE_SQL = sql("select alert_id, flow_start, trigger_frame, unnest([" + ", "
 
 @query("alert_evidence_rows", f"select alert_id, u.kind, u.name, u.number, u.flag from ({EVIDENCE_SQL}) where u.number is not null or u.flag is not null")
 def alert_evidence_rows(spark, sf):
-    return al.explain_alerts(stages(spark, sf).alerts).select("alert_id", "kind", "name", r6("number"), "flag")
+    return al.explain_alerts(stages(spark, sf).alerts).select("alert_id", "kind", "name", r6("number", digits=10), "flag")
 
 
 # --- telemetry ------------------------------------------------------------------------------------
