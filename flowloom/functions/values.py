@@ -97,7 +97,7 @@ def n_log_n(count: Column) -> Column:
 
 def exact_variance(count: Column, total: Column, squares: Column) -> Column:
     """Population variance from integer sums; the subtraction is exact before the division."""
-    n, s, q = (c.cast("decimal(19,0)") for c in (count, total, squares))
+    n, s, q = (c.cast("decimal(38,0)") for c in (count, total, squares))
     return F.when(count > 0, (n * q - s * s).cast("double") / (count.cast("double") * count.cast("double")))
 
 

@@ -84,10 +84,11 @@ def train_boosted(
         GBTClassifier(
             labelCol="target", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth,
             stepSize=rate, subsamplingRate=0.9, seed=SEED,
-            rawPredictionCol=f"raw_{i}", probabilityCol=f"probability_{i}", predictionCol=f"prediction_{i}",
         ).fit(ready.withColumn("target", (F.col("label_idx") == i).cast("double")))
         for i in range(len(classes))
     ]
+    for i, model in enumerate(models):
+        model.setRawPredictionCol(f"raw_{i}").setProbabilityCol(f"probability_{i}").setPredictionCol(f"prediction_{i}")
     return inputs, models
 
 

@@ -729,7 +729,7 @@ def alert_lookup(spark, sf):
 
 
 EVIDENCE_SQL = sql("select alert_id, flow_start, trigger_frame, unnest([" + ", ".join(
-    f"{{'kind': 'evidence', 'name': '{n}', 'number': round(cast({e} as double), 10), 'flag': null::boolean}}" for n, e in BEHAVIOUR_COLUMNS.items())
+    f"{{'kind': 'evidence', 'name': '{n}', 'number': round(cast({e} as double), {digits(n)}), 'flag': null::boolean}}" for n, e in BEHAVIOUR_COLUMNS.items())
     + ", {'kind': 'evidence', 'name': 'history_complete', 'number': null::double, 'flag': complete}"
     + "".join(f", {{'kind': 'capability', 'name': '{n}', 'number': null::double, 'flag': {x}}}" for n, x in zip(CAPABILITIES, (
         "true", "true", "true", "protocol = 'TCP'", "dns_name is not null", "dns_name is not null", "tls_version is not null",
@@ -739,7 +739,9 @@ EVIDENCE_SQL = sql("select alert_id, flow_start, trigger_frame, unnest([" + ", "
 
 @query("alert_evidence_rows", f"select alert_id, u.kind, u.name, u.number, u.flag from ({EVIDENCE_SQL}) where u.number is not null or u.flag is not null")
 def alert_evidence_rows(spark, sf):
-    return al.explain_alerts(stages(spark, sf).alerts).select("alert_id", "kind", "name", r6("number", digits=10), "flag")
+    return al.explain_alerts(stages(spark, sf).alerts).select(
+        "alert_id", "kind", "name",
+        F.when(c("name").isin("inter_arrival_mean", "mean_connection_interval"), r6("number", digits=10)).otherwise(r6("number")).alias("number"), "flag")
 
 
 # --- telemetry ------------------------------------------------------------------------------------

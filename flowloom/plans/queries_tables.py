@@ -209,10 +209,16 @@ def group_split(spark, sf):
     return labelled.group_roles(_unique(spark, sf)).select("group_id", "split")
 
 
-@query("first_complete_split", sql("select r.split, u.label, count(*) as rows, 42 as seed from unique_vectors u join roles r using (group_id) group by all", "unique_vectors", "roles"))
+@query("first_complete_split", sql("""with g as (select group_id, s as seed, row_number() over (partition by s order by md5(group_id || '|' || cast(s as varchar)), group_id) - 1 as r,
+    count(*) over (partition by s) as n from (select distinct group_id from unique_vectors) cross join (select unnest(range(42, 62)) as s)),
+b as (select *, (n * 3 + 9) // 10 as held from g), d as (select *, (held * 2 + 2) // 3 as rest from b),
+t as (select group_id, seed, case when r < n - held then 'train' when r < n - rest then 'validation' when r < n - (rest + 1) // 2 then 'calibration' else 'test' end as split from d),
+x as (select t.split, u.label, count(*) as rows, t.seed from unique_vectors u join t using (group_id) group by all),
+f as (select min(seed) as seed from (select seed from x group by seed having count(*) = 4 * (select count(distinct label) from unique_vectors)))
+select split, label, rows, cast(seed as bigint) as seed from x join f using (seed)""".replace("with g as", "select * from (with g as") + ")", "unique_vectors"))
 def first_complete_split(spark, sf):
     split, seed = labelled.first_complete_split(_unique(spark, sf))
-    return split.groupBy("split", "label").agg(F.count("*").alias("rows")).withColumn("seed", F.lit(seed))
+    return split.groupBy("split", "label").agg(F.count("*").alias("rows")).withColumn("seed", F.lit(seed).cast("bigint"))
 
 
 @query("split_leakage", sql("""select group_id, min(split) as low, max(split) as high from (select group_id, case when source_row % 50 = 0 then 'test' else split end as split
