@@ -24,10 +24,9 @@ def floor_div(value: Column, size: Column | int) -> Column:
 
 def ip_sort_key(ip: Column) -> Column:
     """Version digit plus packed address in hex: text order equals (version, packed bytes) order."""
-    v4 = F.concat(
-        F.lit("4"),
-        F.array_join(F.transform(F.split(ip, r"\."), lambda o: F.lpad(F.hex(o.cast("int")), 2, "0")), ""),
-    )
+    octets = [F.split_part(ip, F.lit("."), F.lit(i)).try_cast("long") for i in range(1, 5)]
+    packed = ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    v4 = F.concat(F.lit("4"), F.lpad(F.hex(packed), 8, "0"))
     halves = F.split(F.lower(ip), "::")
 
     def groups(text: Column) -> Column:

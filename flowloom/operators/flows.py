@@ -10,6 +10,7 @@ from flowloom.functions.ids import flow_id
 from flowloom.functions.values import exact_variance
 from flowloom.operators.packets import frame_chunk
 from flowloom.operators.scan import FRAMES_PER_CHUNK, chunk_scan, first_at_or_after, greedy_chain
+from flowloom.session import checkpoint
 
 FLOW = ["capture_id", "flow_start"]
 SESSION = ["capture_id", "flow_key", "session_start"]
@@ -67,14 +68,14 @@ def sessionize_idle(
 
 def active_restarts(sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000) -> DataFrame:
     """Flow starts inside idle sessions that last ``active_us`` or longer: one row per start."""
+    rows = checkpoint(sessions.select(*SESSION, "ts_us", F.col("frame_no").alias("pos")))
     long = (
-        sessions.groupBy(*SESSION)
+        rows.groupBy(*SESSION)
         .agg((F.max("ts_us") - F.min("ts_us")).alias("_span"))
         .where(F.col("_span") >= active_us)
         .drop("_span")
     )
-    rows = sessions.select(*SESSION, "ts_us", F.col("frame_no").alias("pos")).join(long, SESSION, "left_semi")
-    return greedy_chain(rows, SESSION, active_us, max_fold=max_fold)
+    return greedy_chain(rows.join(long, SESSION, "left_semi"), SESSION, active_us, max_fold=max_fold, staged=True)
 
 
 def split_active(sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000) -> DataFrame:

@@ -12,7 +12,7 @@ no state is carried between tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from flowloom.fixed import MAX_WINDOW_EVENTS, SECOND_US
 from flowloom.functions.ids import floor_div
 from flowloom.functions.values import exact_variance, n_log_n
+from flowloom.session import checkpoint
 
 SLICE = "_slice"
 STEP = [SLICE, "at_us", "seq"]
+BEFORE = "_before_"
 TOTAL_SLICE_US = 10_000_000
 
 
@@ -116,14 +118,15 @@ def sub_key_totals(
     if gap_names:
         gap_leaves = c("_before") + c("width_us") + 1
         changes.append(F.when(gap.isNotNull() & (gap_leaves < end), change(gap_leaves, F.lit(-1), None, -1)))
-    steps = base.select(
-        *keys, SLICE, F.explode(F.filter(F.array(*changes), lambda s: s.isNotNull())).alias("_s")
+    steps = base.select(*keys, SLICE, F.explode(F.array(*changes)).alias("_s")).where(
+        F.col("_s").isNotNull()
     ).select(*keys, SLICE, "_s.*")
     return _running(steps, keys, names + gap_names, points, ["last_us"] if gap_names else [])
 
 
 def _running(
-    steps: DataFrame, keys: list[str], sums: list[str], points: DataFrame | None, maxima: Sequence[str] = ()
+    steps: DataFrame, keys: list[str], sums: list[str], points: DataFrame | None, maxima: Sequence[str] = (),
+    changes: bool = True,
 ) -> DataFrame:
     steps = steps.withColumn("is_point", F.lit(False))
     if points is not None:
@@ -138,25 +141,40 @@ def _running(
     merged = steps.groupBy(*keys, *STEP).agg(
         *[fold(n).alias(n) for fold, n in folds], F.max("is_point").alias("is_point")
     )
-    upto = Window.partitionBy(*keys, SLICE).orderBy("at_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return merged.select(*keys, *STEP, "is_point", *[fold(n).over(upto).alias(n) for fold, n in folds])
-
-
-def value_changes(totals: DataFrame, keys: Sequence[str], host: Column, derived: dict[str, Column]) -> DataFrame:
-    """Changes of derived sub-key values, as steps of the host's own running sums."""
-    keys = list(keys)
     order = Window.partitionBy(*keys, SLICE).orderBy("at_us", "seq")
-    valued = totals.select(
-        *keys, *STEP, host.alias("_host"), *[v.alias(f"_v_{n}") for n, v in derived.items()]
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # What the totals were before the step: from the same pass, for the changes of derived values.
+    return merged.select(
+        *keys, *STEP, "is_point",
+        *[fold(n).over(upto).alias(n) for fold, n in folds],
+        *[(F.sum(n).over(upto) - F.col(n)).alias(BEFORE + n) for n in sums if changes],
+        *[F.max(n).over(before).alias(BEFORE + n) for n in maxima if changes],
     )
-    diffs = [
-        (F.col(f"_v_{n}") - F.coalesce(F.lag(f"_v_{n}").over(order), F.lit(0))).alias(n) for n in derived
-    ]
+
+
+Totals = Callable[[str], Column]
+
+
+def value_changes(
+    totals: DataFrame, keys: Sequence[str], host: Column, derived: dict[str, Callable[[Totals], Column]]
+) -> DataFrame:
+    """Changes of derived sub-key values, as steps of the host's own running sums.
+
+    Each derived value is a function of the totals: it is taken after and before every step.
+    """
+    def now(name: str) -> Column:
+        return F.col(name)
+
+    def then(name: str) -> Column:
+        return F.col(BEFORE + name)
+
+    diffs = [(value(now) - value(then)).alias(n) for n, value in derived.items()]
     changed = F.lit(False)
     for n in derived:
         changed = changed | (F.col(n) != 0)
-    return valued.select(
-        "capture_id", "width_us", F.col("_host").alias("host"), *STEP, *diffs
+    return totals.select(
+        "capture_id", "width_us", host.alias("host"), *STEP, *diffs
     ).where(changed)
 
 
@@ -181,13 +199,17 @@ def _ledger(parts: Sequence[DataFrame], points: DataFrame | None) -> DataFrame:
     steps = aligned[0]
     for part in aligned[1:]:
         steps = steps.unionByName(part)
-    return _running(steps, ["capture_id", "width_us", "host"], list(names), points)
+    return _running(steps, ["capture_id", "width_us", "host"], list(names), points, changes=False)
 
 
 def _flag(value: Column) -> Column:
     return (value > 0).cast("long")
 
 
+def itself(name: str) -> Callable[[Totals], Column]:
+    return lambda totals: totals(name)
+
+
 PAIR = ["capture_id", "width_us", "src_ip", "dst_ip"]
 
 
@@ -221,34 +243,34 @@ def source_parts(events: DataFrame, pairs: DataFrame, only: set[str] | None = No
         )
         parts["volume"] = value_changes(
             volume, host_key, c("src_ip"),
-            {n: c(n) for n in ("packet_count", "byte_count", "flow_count", "domain_count")}
+            {n: itself(n) for n in ("packet_count", "byte_count", "flow_count", "domain_count")}
             # The oldest packet in the window: the newest one minus all gaps.
-            | {"first_us": F.when(c("packet_count") > 0, c("last_us") - c("gap")).otherwise(0)},
+            | {"first_us": lambda t: F.when(t("packet_count") > 0, t("last_us") - t("gap")).otherwise(0)},
         )
     if wanted("unique_destinations", "destination_nlogn"):
         parts["peers"] = value_changes(
             pairs, PAIR, c("src_ip"),
-            {"unique_destinations": _flag(c("n")), "destination_nlogn": n_log_n(c("new"))},
+            {"unique_destinations": lambda t: _flag(t("n")), "destination_nlogn": lambda t: n_log_n(t("new"))},
         )
     if wanted("unique_destination_ports"):
         keys = [*host_key, "dst_port"]
         ports = sub_key_totals(events.where("dst_port IS NOT NULL"), keys, {"n": F.lit(1)})
-        parts["ports"] = value_changes(ports, keys, c("src_ip"), {"unique_destination_ports": _flag(c("n"))})
+        parts["ports"] = value_changes(ports, keys, c("src_ip"), {"unique_destination_ports": lambda t: _flag(t("n"))})
     if wanted("window_flows", "short_flows"):
         keys = [*host_key, "flow_start"]
         spans = sub_key_totals(events, keys, {"n": F.lit(1)}, gap_of=F.lit(True))
-        alive = c("n") > 0
+        short = lambda t: (t("n") > 0) & (t("gap") <= 2 * SECOND_US)
         parts["spans"] = value_changes(
             spans, keys, c("src_ip"),
             {
-                "window_flows": alive.cast("long"),
-                "short_flows": (alive & (c("gap") <= 2 * SECOND_US)).cast("long"),
+                "window_flows": lambda t: _flag(t("n")),
+                "short_flows": lambda t: short(t).cast("long"),
             },
         )
     if wanted("unique_domains"):
         keys = [*host_key, "domain"]
         names = sub_key_totals(events.withColumn("domain", F.explode("domains")), keys, {"n": F.lit(1)})
-        parts["names"] = value_changes(names, keys, c("src_ip"), {"unique_domains": _flag(c("n"))})
+        parts["names"] = value_changes(names, keys, c("src_ip"), {"unique_domains": lambda t: _flag(t("n"))})
     return list(parts.values())
 
 
@@ -273,11 +295,11 @@ def target_parts(events: DataFrame, pairs: DataFrame, only: set[str] | None = No
         )
         parts["volume"] = value_changes(
             volume, host_key, c("dst_ip"),
-            {n: c(n) for n in ("target_packet_count", "udp_packets", "inbound_bytes")},
+            {n: itself(n) for n in ("target_packet_count", "udp_packets", "inbound_bytes")},
         )
     if wanted("unique_sources", "source_nlogn"):
         parts["peers"] = value_changes(
-            pairs, PAIR, c("dst_ip"), {"unique_sources": _flag(c("n")), "source_nlogn": n_log_n(c("n"))}
+            pairs, PAIR, c("dst_ip"), {"unique_sources": lambda t: _flag(t("n")), "source_nlogn": lambda t: n_log_n(t("n"))}
         )
     if wanted("bins", "bin_squares"):
         keys = [*host_key, "second"]
@@ -285,7 +307,7 @@ def target_parts(events: DataFrame, pairs: DataFrame, only: set[str] | None = No
             events.withColumn("second", floor_div(c("ts_us"), SECOND_US)), keys, {"n": F.lit(1)}
         )
         parts["bins"] = value_changes(
-            bins, keys, c("dst_ip"), {"bins": _flag(c("n")), "bin_squares": c("n") * c("n")}
+            bins, keys, c("dst_ip"), {"bins": lambda t: _flag(t("n")), "bin_squares": lambda t: t("n") * t("n")}
         )
     return list(parts.values())
 
@@ -391,10 +413,11 @@ def temporal_snapshot(events: DataFrame, points: DataFrame) -> DataFrame:
     host holds source and destination measures together, so both reads share one shuffle.
     """
     c = F.col
-    # Traffic between the two hosts of a pair is read at the same points.
-    pairs = pair_totals(events, points)
+    # Pair totals feed both hosts and are read at the same points: computed once.
+    pairs = checkpoint(pair_totals(events, points))
     parts = source_parts(events, pairs) + target_parts(events, pairs)
-    ledger = _ledger(parts, _host_points(points, "src_ip", "dst_ip"))
+    # Only the read points leave the ledger; they are read for both hosts.
+    ledger = checkpoint(_ledger(parts, _host_points(points, "src_ip", "dst_ip")).where("is_point"))
     out = read_points(ledger, points, "src_ip", [*SOURCE_MEASURES, "inbound_bytes"])
     out = read_points(ledger, out, "dst_ip", TARGET_MEASURES)
     pair_values = pairs.where("is_point").select(

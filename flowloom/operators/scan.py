@@ -114,14 +114,17 @@ def greedy_chain(
     width_us: int,
     *,
     max_fold: int = 100_000,
+    staged: bool = False,
 ) -> DataFrame:
     """Rows kept by "at least ``width_us`` after the last kept row", from the first row of each key.
 
     ``rows`` has the columns ``keys``, ``ts_us`` and ``pos`` (order within equal times). Returns
     ``keys, ts_us, pos`` of the kept rows. Keys of up to ``max_fold`` distinct times are folded as an
     array; longer keys follow their successor pointers by doubling, so no key is held in one task.
+    ``staged`` says that ``rows`` is cheap to read again; otherwise they are written once first.
     """
-    base = checkpoint(rows.groupBy(*keys, "ts_us").agg(F.min("pos").alias("pos")))
+    base = rows.groupBy(*keys, "ts_us").agg(F.min("pos").alias("pos"))
+    base = base if staged else checkpoint(base)
     big = base.groupBy(*keys).count().where(F.col("count") > max_fold).drop("count")
     if big.isEmpty():
         return _fold_chain(base, keys, width_us)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write a stage table to the shared folder and read it back.
+
+    Unlike a checkpointed RDD the table is compressed and columnar, so later stages read only the
+    columns they use, and lost executors cost no recomputation of what came before.
+    """
+    path = f"{shared_dir(df.sparkSession)}/flowloom-stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
