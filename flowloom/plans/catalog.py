@@ -18,7 +18,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
-        QUERIES[name] = run
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # event times have no zone of their own
+            return run(spark, sf_dir)
+
+        QUERIES[name] = in_utc
         if oracle is not None:
             ORACLES[name] = oracle
         return run
