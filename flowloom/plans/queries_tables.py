@@ -368,22 +368,25 @@ def model_roundtrip(spark, sf):
 def _write_captures(spark: SparkSession, frames: DataFrame) -> str:
     """Capture files of the derived frames, one per task: test data for the reader."""
     import struct
-    from pathlib import Path
 
     folder = scratch(spark, "captures")
-    local = folder.removeprefix("file:")
 
-    def write(rows):
-        ordered = list(rows)
-        if ordered:
-            Path(local).mkdir(parents=True, exist_ok=True)
-            with open(f"{local}/{uuid.uuid4().hex}.pcap", "wb") as out:
+    def write(batches):
+        out = None
+        for batch in batches:
+            if out is None:
+                filesystem, name = captures.locate(folder)
+                filesystem.create_dir(name, recursive=True)
+                out = filesystem.open_output_stream(f"{name}/{uuid.uuid4().hex}.pcap")
                 out.write(b"\xd4\xc3\xb2\xa1" + struct.pack("<HHiIII", 2, 4, 0, 0, 65535, 1))
-                for row in ordered:
-                    frame = bytes(row["frame"])
-                    out.write(struct.pack("<IIII", *divmod(row["ts_us"], SECOND_US), len(frame), len(frame)) + frame)
-
-    frames.select("ts_us", "frame").sortWithinPartitions("ts_us").foreachPartition(write)
+            for row in batch.to_pylist():
+                frame = row["frame"]
+                out.write(struct.pack("<IIII", *divmod(row["ts_us"], SECOND_US), len(frame), len(frame)) + frame)
+            yield batch.select(["ts_us"])
+        if out is not None:
+            out.close()
+
+    frames.select("ts_us", "frame").sortWithinPartitions("ts_us").mapInArrow(write, "ts_us long").count()
     return folder
 
 

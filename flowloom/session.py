@@ -26,13 +26,15 @@ def build_session(app: str = "flowloom", master: str | None = None, **extra: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch folder where none is named (tests)."""
+    """The cluster's shared checkpoint folder; a scratch folder where none is named on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowloom-"))
     return spark.sparkContext.getCheckpointDir()
 
