@@ -66,9 +66,15 @@ def sessionize_idle(
     )
 
 
-def active_restarts(sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000) -> DataFrame:
-    """Flow starts inside idle sessions that last ``active_us`` or longer: one row per start."""
-    rows = checkpoint(sessions.select(*SESSION, "ts_us", F.col("frame_no").alias("pos")))
+def active_restarts(
+    sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000, staged: bool = False
+) -> DataFrame:
+    """Flow starts inside idle sessions that last ``active_us`` or longer: one row per start.
+
+    ``staged`` says that ``sessions`` is a stage table; otherwise its needed columns become one.
+    """
+    rows = sessions.select(*SESSION, "ts_us", F.col("frame_no").alias("pos"))
+    rows = rows if staged else checkpoint(rows)
     long = (
         rows.groupBy(*SESSION)
         .agg((F.max("ts_us") - F.min("ts_us")).alias("_span"))
@@ -78,10 +84,12 @@ def active_restarts(sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: i
     return greedy_chain(rows.join(long, SESSION, "left_semi"), SESSION, active_us, max_fold=max_fold, staged=True)
 
 
-def split_active(sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000) -> DataFrame:
+def split_active(
+    sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000, staged: bool = False
+) -> DataFrame:
     """Add ``flow_start``: a session restarts at the first packet ``active_us`` after the flow's start."""
     starts = (
-        active_restarts(sessions, active_us, max_fold)
+        active_restarts(sessions, active_us, max_fold, staged)
         .groupBy(*SESSION)
         .agg(F.collect_set("pos").alias("_starts"))  # one entry per active_us of the session
     )
@@ -103,8 +111,8 @@ def assign_flows(
     max_fold: int = 100_000,
 ) -> DataFrame:
     """Ordered packets with ``flow_start``, ``is_new`` and the gap to the flow's previous packet."""
-    sessions = sessionize_idle(packets, idle_us, chunk_frames)
-    flows = split_active(sessions, active_us, max_fold)
+    sessions = checkpoint(sessionize_idle(packets, idle_us, chunk_frames))
+    flows = split_active(sessions, active_us, max_fold, staged=True)
     is_new = F.col("frame_no") == F.col("flow_start")
     return flows.withColumn("is_new", is_new).withColumn(
         "gap_us", F.when(~is_new, F.greatest(F.col("ts_us") - F.col("prev_us"), F.lit(0)))
