@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.fixed import IDLE_US, MODEL_CLASSES, SECOND_US
+from flowloom.fixed import IDLE_US
 from flowloom.operators import alerts, evaluation, evidence, features, flows, hostwindows, packets
 from flowloom.operators.flows import FLOW
 from flowloom.session import checkpoint
@@ -181,11 +181,3 @@ class Stages:
             F.col("packet_length").alias("frame_length"),
             F.coalesce("_new", F.lit(False)).alias("is_new"),
         )
-
-
-def width_seconds(width_us: Column) -> Column:
-    return width_us / SECOND_US
-
-
-def class_list() -> list[str]:
-    return list(MODEL_CLASSES)
