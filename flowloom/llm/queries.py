@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import decontaminate, fingerprint, packing, warc
+from flowloom.llm import chats, decontaminate, fingerprint, packing, toxicity, warc
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_decontaminate")
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -45,6 +50,30 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+CHATS_SQL = """
+with t as (
+  select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null
+), p as (
+  select *, row_number() over w as n, count(*) over (partition by conv_id) as size,
+         string_agg(turn || chr(1) || role || chr(1) || text, chr(2)) over w as prefix
+  from t window w as (partition by conv_id order by turn, role, text rows between unbounded preceding and current row)
+), whole as (
+  select prefix, min(conv_id) as conv_id, count(*) as copies from p where n = size group by prefix
+), kept as (
+  select conv_id, copies from whole where prefix not in (select prefix from p where n < size)
+)
+select conv_id, cast(floor(turn / 256) as bigint) as segment, count(*) as turns, max(copies) as copies,
+       string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by turn, role, text) as text
+from t join kept using (conv_id) group by conv_id, segment
+"""
+
+
+@query("op9_chats", CHATS_SQL)
+def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.chat_rows(table(spark, sf_dir, "conversations"))
+
+
 @query("op10_warc")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
