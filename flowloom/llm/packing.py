@@ -12,14 +12,16 @@ an empty table gives an empty result; further columns are ignored. Rows without
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import batch_of, map_batches, rows_of, text_of
+from flowloom.llm.common import batch_of, map_batches, text_of
 from flowloom.session import checkpoint
 
 CAPACITY = 2048
@@ -32,50 +34,87 @@ PIECES_PER_RANGE = 50_000
 #: A plan of so many steps is sent to all tasks; a larger one is joined through a shuffle.
 BROADCAST_STEPS = 500_000
 
+_ENDING = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkIds(dict):
+class ChunkIds:
     """Chunks between white space -> their ids as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and merges nothing across it, so a text's ids are those of its chunks in turn.
-    Only ASCII white space cuts; the tokenizer itself sees to any other.
+    The tokenizer puts letters into lower case, drops white space and merges nothing across it, so a text's ids are those of its
+    chunks in turn. Only ASCII white space cuts and only A-Z change here; the tokenizer itself sees to all else. A batch's new
+    chunks are encoded in one call; tokens fall to chunks by their offsets.
     """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(self) >= CACHE_CHUNKS:
-            self.clear()
-        self[chunk] = packed
-        return packed
-
-    def ids_of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        self.known: dict[bytes, bytes] = {}
+        # Any other kind of tokenizer gets whole texts.
+        self.by_chunk = self.ids("Ab,  c") == [i for c in ("ab", ",", "c") for i in self.ids(c)]
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self.known) + len(chunks) > CACHE_CHUNKS:
+            self.known.clear()
+        new = [c for c in chunks if c not in self.known]
+        for at in range(0, len(new), 20_000):
+            part = [c.decode() for c in new[at : at + 20_000]]
+            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<u4")
+            sizes = np.array([len(c) + 1 for c in part])
+            begins = np.array([o[0] for o in encoded.offsets], dtype=np.int64)
+            cuts = 4 * np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]))
+            packed = ids.tobytes()
+            slices = map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
+            self.known.update(zip(new[at : at + 20_000], map(packed.__getitem__, slices), strict=True))
+
+    @staticmethod
+    def chunks(text: str) -> list[bytes]:
+        raw = text.encode()
+        lowered = raw.lower()
+        # A special token's name stays as it is written. A single mark between a letter and white space is a chunk of its own.
+        return raw.split() if b"<|" in lowered else _ENDING.sub(rb" \1", lowered).split()
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
+        if not self.by_chunk:
+            yield from (np.array(self.ids(text), dtype="<u4").tobytes() for text in texts)
+            return
+        group, size = [], 0
+        for text in texts:
+            group.append(self.chunks(text))
+            size += len(group[-1])
+            if size > 200_000:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        self.learn(set().union(*group))
+        for chunks in group:
+            yield b"".join(map(self.known.__getitem__, chunks))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     chunk_ids, end = ChunkIds(tokenizer_path), end_id.to_bytes(4, "little")
-    out: dict[str, list] = {f.name: [] for f in PIECES}
-    for doc_id, text in rows_of(batches):
-        ids = memoryview(chunk_ids.ids_of(text) + end)
-        total = len(ids) // 4
-        for piece, start in enumerate(range(0, total, capacity)):
-            length = min(capacity, total - start)
-            row = (doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
-            for name, value in zip(out, row, strict=True):
-                out[name].append(value)
-        if len(out["piece"]) >= 8192:
-            yield batch_of(out, PIECES)
-            out = {name: [] for name in out}
-    yield batch_of(out, PIECES)
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in PIECES}
+        doc_ids, texts = (c.to_pylist() for c in batch.columns)
+        for doc_id, ids in zip(doc_ids, chunk_ids.batch(texts), strict=True):
+            ids = memoryview(ids + end)
+            total = len(ids) // 4
+            for piece, start in enumerate(range(0, total, capacity)):
+                length = min(capacity, total - start)
+                row = (doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                for name, value in zip(out, row, strict=True):
+                    out[name].append(value)
+        yield batch_of(out, PIECES)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
