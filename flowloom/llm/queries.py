@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chats, decontaminate, fingerprint, ngrams, packing, quality, secrets, toxicity, warc
+from flowloom.llm import chats, decontaminate, fingerprint, neardup, ngrams, packing, quality, secrets, toxicity, warc
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op2_language_model")
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.language_scores(table(spark, sf_dir, "documents"))
