@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import batch_of, map_batches, mix, rows_of, text_of, words_of
+from flowloom.llm.common import batch_of, fresh, map_batches, mix, text_of, words_of
 from flowloom.llm.components import components
 from flowloom.session import checkpoint
 
@@ -231,15 +231,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest id, with all columns; of rows that repeat an id, one."""
+    id_, number = fresh(docs, "_id", "_number")
     judged = checkpoint(near_duplicates(docs))
-    gone = checkpoint(judged.where("not kept").select("doc_id").distinct())
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    dropped = gone.withColumnRenamed("doc_id", "_id")
-    kept = named.join(F.broadcast(dropped) if gone.count() <= BROADCAST_IDS else dropped, "_id", "left_anti")
+    gone = checkpoint(judged.where("not kept").select(F.col("doc_id").alias(id_)).distinct())
+    named = docs.withColumn(id_, F.col("doc_id").cast("long"))
+    kept = named.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_, "left_anti")
     twice = checkpoint(judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(
-        F.col("doc_id").alias("_id")))
+        F.col("doc_id").alias(id_)))
     if not twice.isEmpty():
-        one = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
-        single = kept.join(twice, "_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-        kept = kept.join(twice, "_id", "left_anti").unionByName(single)
+        one = Window.partitionBy(id_).orderBy(F.xxhash64("text"))
+        single = kept.join(twice, id_, "left_semi").withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).drop(number)
+        kept = kept.join(twice, id_, "left_anti").unionByName(single)
     return kept.select(*docs.columns)

@@ -34,7 +34,7 @@ PIECES_PER_RANGE = 50_000
 #: A plan of so many steps is sent to all tasks; a larger one is joined through a shuffle.
 BROADCAST_STEPS = 500_000
 
-_ENDING = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|$)")
+_ENDING = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=[ \n]|$)")
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                     ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -78,7 +78,7 @@ class ChunkIds:
     def chunks(text: str) -> list[bytes]:
         raw = text.encode()
         lowered = raw.lower()
-        # A special token's name stays as it is written. A single mark between a letter and white space is a chunk of its own.
+        # A special token's name stays as it is written. Marks between a letter and white space are a chunk of their own.
         return raw.split() if b"<|" in lowered else _ENDING.sub(rb" \1", lowered).split()
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import text_of
+from flowloom.llm.common import fresh, text_of
 from flowloom.session import checkpoint
 
 # The patterns of base finds. Kinds are numbered in this order.
@@ -145,15 +145,16 @@ def _cut_out(text: Column, spans: Column, mask: str) -> Column:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``, live finds masked in the text and n_chars counted anew; copied examples stay."""
+    id_, hash_, spans, changed = fresh(docs, "_id", "_hash", "_spans", "_changed")
     live = judged(stored_finds(docs)).where("class = 'live'").groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("start", "end")).alias("_spans"))
+        F.collect_set(F.struct("start", "end")).alias(spans))
     # The stored table's size is known, so Spark sends it to all tasks while it is small and shuffles else.
-    cuts = checkpoint(live).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash"))
-    joined = docs.join(cuts, same, "left")
-    new = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(_cut_out(docs["text"], F.col("_spans"), mask))
-    columns = [new.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    out = joined.select(*columns, F.col("_spans").isNotNull().alias("_cut"))
+    cuts = checkpoint(live).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), spans)
+    text = F.col("text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(hash_))
+    joined = docs.join(cuts, same, "left").withColumn(changed, F.col(spans).isNotNull())
+    out = joined.withColumn("text", F.when(F.col(changed), _cut_out(text, F.col(spans), mask)).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col(changed), size).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
