@@ -46,12 +46,10 @@ def build_alerts(gated: DataFrame) -> DataFrame:
     )
 
 
-def dedupe_alerts(alerts: DataFrame, cooldown_us: int = ALERT_COOLDOWN_US, max_fold: int = 100_000) -> DataFrame:
+def dedupe_alerts(alerts: DataFrame, cooldown_us: int = ALERT_COOLDOWN_US) -> DataFrame:
     """Per key keep an alert at least ``cooldown_us`` after the last *kept* one, in (time, flow) order."""
     ordered = alerts.withColumn("pos", F.struct("flow_id", "window_id", "alert_id"))
-    kept = greedy_chain(
-        ordered.select(*ALERT_KEY, "ts_us", "pos"), ALERT_KEY, cooldown_us, max_fold=max_fold
-    )
+    kept = greedy_chain(ordered.select(*ALERT_KEY, "ts_us", "pos"), ALERT_KEY, cooldown_us)
     return ordered.join(kept, [*ALERT_KEY, "ts_us", "pos"], "left_semi").select(*alerts.columns)
 
 
@@ -102,7 +100,7 @@ def alert_markers(alerts: DataFrame, spans: DataFrame) -> DataFrame:
     at = F.col("emitted_us")
     width = F.greatest(F.col("last_us") - F.col("first_us"), F.lit(1000))
     return (
-        alerts.join(F.broadcast(spans), "capture_id")  # one row per capture
+        alerts.join(spans, "capture_id")
         .where(at.between(F.col("first_us"), F.col("last_us")))
         .select("alert_id", ((at - F.col("first_us")) / width * 100).alias("left_percent"))
     )

@@ -66,9 +66,7 @@ def sessionize_idle(
     )
 
 
-def active_restarts(
-    sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000, staged: bool = False
-) -> DataFrame:
+def active_restarts(sessions: DataFrame, active_us: int = ACTIVE_US, staged: bool = False) -> DataFrame:
     """Flow starts inside idle sessions that last ``active_us`` or longer: one row per start.
 
     ``staged`` says that ``sessions`` is a stage table; otherwise its needed columns become one.
@@ -81,25 +79,21 @@ def active_restarts(
         .where(F.col("_span") >= active_us)
         .drop("_span")
     )
-    return greedy_chain(rows.join(long, SESSION, "left_semi"), SESSION, active_us, max_fold=max_fold, staged=True)
+    return greedy_chain(rows.join(long, SESSION, "left_semi"), SESSION, active_us, staged=True)
 
 
 def split_active(
-    sessions: DataFrame, active_us: int = ACTIVE_US, max_fold: int = 100_000, staged: bool = False
+    sessions: DataFrame, active_us: int = ACTIVE_US, staged: bool = False, chunk_frames: int = FRAMES_PER_CHUNK
 ) -> DataFrame:
-    """Add ``flow_start``: a session restarts at the first packet ``active_us`` after the flow's start."""
-    starts = (
-        active_restarts(sessions, active_us, max_fold, staged)
-        .groupBy(*SESSION)
-        .agg(F.collect_set("pos").alias("_starts"))  # one entry per active_us of the session
-    )
-    frame = F.col("frame_no")
-    reached = F.array_max(F.filter("_starts", lambda s: s <= frame))
-    return (
-        sessions.join(starts, SESSION, "left")
-        .withColumn("flow_start", F.coalesce(reached, F.col("session_start")))
-        .drop("_starts")
-    )
+    """Add ``flow_start``: a session restarts at the first packet ``active_us`` after the flow's start.
+
+    The starts are marked on their packets; the newest mark so far is a running maximum over frame chunks.
+    """
+    starts = active_restarts(sessions, active_us, staged).select(*SESSION, F.col("pos").alias("frame_no"), F.lit(True).alias("_starts"))
+    marked = sessions.join(starts, [*SESSION, "frame_no"], "left")
+    newest = {"_newest": ("max", F.when(F.col("_starts"), F.col("frame_no")), True)}
+    run = chunk_scan(marked, SESSION, frame_chunk(chunk_frames), [F.col("frame_no")], newest)
+    return run.withColumn("flow_start", F.coalesce("_newest", "session_start")).select(*sessions.columns, "flow_start")
 
 
 def assign_flows(
@@ -108,11 +102,10 @@ def assign_flows(
     active_us: int = ACTIVE_US,
     *,
     chunk_frames: int = FRAMES_PER_CHUNK,
-    max_fold: int = 100_000,
 ) -> DataFrame:
     """Ordered packets with ``flow_start``, ``is_new`` and the gap to the flow's previous packet."""
     sessions = checkpoint(sessionize_idle(packets, idle_us, chunk_frames))
-    flows = split_active(sessions, active_us, max_fold, staged=True)
+    flows = split_active(sessions, active_us, True, chunk_frames)
     is_new = F.col("frame_no") == F.col("flow_start")
     return flows.withColumn("is_new", is_new).withColumn(
         "gap_us", F.when(~is_new, F.greatest(F.col("ts_us") - F.col("prev_us"), F.lit(0)))
@@ -261,7 +254,7 @@ def flow_close_events(
     )
     c = F.col
     split, idle = c("_next_frame").isNotNull(), c("hit").isNotNull()
-    return hits.join(F.broadcast(end), "capture_id").select(  # one row per capture
+    return hits.join(end, "capture_id").select(
         *FLOW,
         "last_seen_us",
         F.when(split, "active").when(idle, "idle").otherwise("end").alias("reason"),
@@ -270,12 +263,12 @@ def flow_close_events(
     )
 
 
-def snapshot_ticks(packets: DataFrame, every_us: int = SNAPSHOT_US, max_fold: int = 100_000) -> DataFrame:
+def snapshot_ticks(packets: DataFrame, every_us: int = SNAPSHOT_US) -> DataFrame:
     """Clock of a capture: first packet at least ``every_us`` after the last tick (or the first packet)."""
     rows = packets.select("capture_id", "ts_us", F.col("frame_no").alias("pos"))
-    chain = greedy_chain(rows, ["capture_id"], every_us, max_fold=max_fold)
+    chain = greedy_chain(rows, ["capture_id"], every_us)
     first = packets.groupBy("capture_id").agg(F.min("frame_no").alias("pos"))
-    return chain.join(F.broadcast(first), ["capture_id", "pos"], "left_anti").select(
+    return chain.join(first, ["capture_id", "pos"], "left_anti").select(
         "capture_id", F.col("pos").alias("tick_frame"), F.col("ts_us").alias("tick_us")
     )
 

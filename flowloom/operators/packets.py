@@ -26,6 +26,11 @@ def mark_out_of_order(packets: DataFrame, chunk_frames: int = FRAMES_PER_CHUNK)
     return seen.withColumn("late", F.coalesce(F.col("ts_us") < F.col("_seen_us"), F.lit(False))).drop("_seen_us")
 
 
+def known_protocols(packets: DataFrame) -> DataFrame:
+    """Packets that may belong to a flow. The others move no clock and form no flow."""
+    return packets.where(F.col("protocol") != "OTHER")
+
+
 def drop_out_of_order(packets: DataFrame, chunk_frames: int = FRAMES_PER_CHUNK) -> DataFrame:
     return mark_out_of_order(packets, chunk_frames).where(~F.col("late")).drop("late")
 

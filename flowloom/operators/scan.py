@@ -6,15 +6,21 @@ into chunks of bounded size, scan inside the chunk, and carry a one-row summary
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from flowloom.session import checkpoint
 
 FRAMES_PER_CHUNK = 1 << 17
 SCAN_CHUNK_US = 10_000_000
+#: Widths of a chain in one of its chunks: more make the carried tables smaller and the chunks larger.
+CHAIN_WIDTHS = 16
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -108,61 +114,98 @@ def first_at_or_after(
     return scanned.select(*keys, at, *[F.col(f"_point.{c}").alias(c) for c in payload], F.col("_hit").alias(out))
 
 
-def greedy_chain(
-    rows: DataFrame,
-    keys: Sequence[str],
-    width_us: int,
-    *,
-    max_fold: int = 100_000,
-    staged: bool = False,
-) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of a sorted partition by equal ``_run``, one run in memory."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        run = batch.column("_run").to_numpy()
+        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and run[begin] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = run[begin]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _chunk_tables(batches: Iterator[pa.RecordBatch], width_us: int, chunk_us: int) -> Iterator[pa.RecordBatch]:
+    """Per chunk: for every time at which the chain may enter, the last time it keeps there (``last_us``)."""
+    for run in _runs(batches):
+        times = run["ts_us"].to_numpy()
+        follower = np.searchsorted(times, times + width_us)
+        last = np.where(follower == len(times), np.arange(len(times)), follower)
+        while (last[last] != last).any():  # pointers within the chunk: log2 of the times kept in it
+            last = last[last]
+        # Whoever comes from the chunk before enters at a time of the first width, or at the first one after it.
+        doors = int(np.searchsorted(times, (times[0] // chunk_us) * chunk_us + width_us)) + 1
+        doors = min(doors, len(times))
+        out = run.slice(0, doors).append_column("last_us", pa.array(times[last[:doors]], pa.int64()))
+        yield from out.drop_columns(["_run"]).to_batches()
+
+
+def _walk(batches: Iterator[pa.RecordBatch], keys: int, width_us: int) -> Iterator[pa.RecordBatch]:
+    """Follows every key through the tables of its chunks in order; one row per chunk that keeps a time."""
+    key, due, done = None, None, None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        chosen = []
+        for at, row in enumerate(zip(*columns, strict=True)):
+            own, chunk, ts_us, last_us = row[:keys], row[keys], row[keys + 1], row[keys + 2]
+            if own != key:
+                key, due, done = own, None, None
+            if chunk != done and (due is None or ts_us >= due):
+                chosen.append(at)
+                due, done = last_us + width_us, chunk
+        yield batch.select(list(range(keys + 2))).take(pa.array(chosen, pa.int64()))
+
+
+def _kept(batches: Iterator[pa.RecordBatch], width_us: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each chunk that its chain keeps, from the time at which the chain enters it."""
+    for run in _runs(batches):
+        times = run["ts_us"].to_numpy()
+        at = int(np.searchsorted(times, run["_enter"][0].as_py()))
+        follower = np.searchsorted(times, times + width_us)
+        chosen = []
+        while at < len(times):
+            chosen.append(at)
+            at = int(follower[at])
+        yield from run.select(columns).take(pa.array(chosen)).combine_chunks().to_batches()
+
+
+def greedy_chain(rows: DataFrame, keys: Sequence[str], width_us: int, *, staged: bool = False) -> DataFrame:
     """Rows kept by "at least ``width_us`` after the last kept row", from the first row of each key.
 
     ``rows`` has the columns ``keys``, ``ts_us`` and ``pos`` (order within equal times). Returns
-    ``keys, ts_us, pos`` of the kept rows. Keys of up to ``max_fold`` distinct times are folded as an
-    array; longer keys follow their successor pointers by doubling, so no key is held in one task.
-    ``staged`` says that ``rows`` is cheap to read again; otherwise they are written once first.
+    ``keys, ts_us, pos`` of the kept rows. Time is cut into chunks of ``CHAIN_WIDTHS`` widths. A task sees
+    one chunk of one key and tells, for every time at which the chain may enter, where it leaves: those of
+    the first width only, so a key's tables are a small part of its rows. One streamed pass over them
+    carries the entry from chunk to chunk; then each chunk gives its kept rows. All work is linear in the
+    rows and the same for every size. ``staged`` says that ``rows`` is cheap to read again; otherwise they
+    are written once first.
     """
+    keys, chunk_us = list(keys), CHAIN_WIDTHS * width_us
     base = rows.groupBy(*keys, "ts_us").agg(F.min("pos").alias("pos"))
     base = base if staged else checkpoint(base)
-    big = base.groupBy(*keys).count().where(F.col("count") > max_fold).drop("count")
-    if big.isEmpty():
-        return _fold_chain(base, keys, width_us)
-    short = base.join(big, list(keys), "left_anti")
-    return _fold_chain(short, keys, width_us).unionByName(
-        _doubling_chain(base.join(big, list(keys), "left_semi"), keys, width_us)
-    )
-
-
-def _fold_chain(base: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
-    item = F.struct("ts_us", "pos")
-    times = base.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    kept = F.aggregate(
-        F.slice("_all", 2, F.greatest(F.size("_all") - 1, F.lit(0))),
-        F.slice("_all", 1, 1),
-        lambda acc, v: F.when(
-            v["ts_us"] - F.element_at(acc, -1)["ts_us"] >= width_us, F.concat(acc, F.array(v))
-        ).otherwise(acc),
-    )
-    return times.select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.ts_us", "_k.pos")
-
-
-def _doubling_chain(base: DataFrame, keys: Sequence[str], width_us: int) -> DataFrame:
-    keys = list(keys)
-    points = base.select(*keys, (F.col("ts_us") + width_us).alias("at"), "ts_us")
-    marks = base.select(*keys, F.col("ts_us").alias("at"))
-    jump = checkpoint(
-        first_at_or_after(points, marks, keys, "at", F.struct(F.col("at")), "hit")
-        .where(F.col("hit").isNotNull())
-        .select(*keys, "ts_us", F.col("hit.at").alias("to_us"))
-    )
-    jumps = []
-    while not jump.isEmpty():
-        jumps.append(jump)
-        onward = jump.select(*keys, F.col("ts_us").alias("to_us"), F.col("to_us").alias("far_us"))
-        jump = checkpoint(jump.join(onward, [*keys, "to_us"]).select(*keys, "ts_us", F.col("far_us").alias("to_us")))
-    reached = base.groupBy(*keys).agg(F.min("ts_us").alias("ts_us"))
-    for jump in reversed(jumps):
-        step = reached.join(jump, [*keys, "ts_us"]).select(*keys, F.col("to_us").alias("ts_us"))
-        reached = checkpoint(reached.unionByName(step))
-    return base.join(reached, [*keys, "ts_us"], "left_semi").select(*keys, "ts_us", "pos")
+    cut = base.withColumn("_chunk", F.floor(F.col("ts_us") / F.lit(chunk_us)).cast("long"))
+    run = F.xxhash64(*keys, "_chunk").alias("_run")
+
+    def in_runs(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys, "_chunk").sortWithinPartitions("_run", *keys, "_chunk", "ts_us")
+
+    sample = cut.select(*keys, "_chunk", "ts_us")
+    schema = StructType([*sample.schema.fields, StructField("last_us", LongType())])
+    tables = in_runs(sample.select("*", run)).mapInArrow(partial(_chunk_tables, width_us=width_us, chunk_us=chunk_us), schema)
+    ordered = tables.repartition(*keys).sortWithinPartitions(*keys, "_chunk", "ts_us")
+    entries = checkpoint(ordered.mapInArrow(partial(_walk, keys=len(keys), width_us=width_us), sample.schema))
+    entry = entries.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_chunk").alias("_in"), F.col("ts_us").alias("_enter"))
+    same = F.col("_chunk") == F.col("_in")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    bound = cut.join(entry, same).select(*keys, "_chunk", "ts_us", "pos", "_enter", run)
+    out = ["ts_us", "pos"]
+    return in_runs(bound).mapInArrow(partial(_kept, width_us=width_us, columns=[*keys, *out]), cut.select(*keys, *out).schema)

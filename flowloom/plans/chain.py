@@ -60,14 +60,13 @@ def verdict_rows(vectors: DataFrame, flow_rows: DataFrame, detector: str = "beha
 class Stages:
     """Lazily built stages over one packet table."""
 
-    def __init__(self, packet_rows: DataFrame, width_s: int = 60, max_fold: int = 100_000) -> None:
+    def __init__(self, packet_rows: DataFrame, width_s: int = 60) -> None:
         self.packets = packet_rows
         self.width_s = width_s
-        self.max_fold = max_fold
 
     @cached_property
     def ordered(self) -> DataFrame:
-        return packets.canonical_endpoints(packets.drop_out_of_order(self.packets))
+        return packets.canonical_endpoints(packets.drop_out_of_order(packets.known_protocols(self.packets)))
 
     @cached_property
     def sessions(self) -> DataFrame:
@@ -75,7 +74,7 @@ class Stages:
 
     @cached_property
     def flow_packets(self) -> DataFrame:
-        return checkpoint(flows.assign_flows(self.ordered, max_fold=self.max_fold))
+        return checkpoint(flows.assign_flows(self.ordered))
 
     @cached_property
     def flows(self) -> DataFrame:
@@ -92,7 +91,7 @@ class Stages:
 
     @cached_property
     def ticks(self) -> DataFrame:
-        return checkpoint(flows.snapshot_ticks(self.flow_packets, max_fold=self.max_fold))
+        return checkpoint(flows.snapshot_ticks(self.flow_packets))
 
     @cached_property
     def snapshots(self) -> DataFrame:
@@ -130,11 +129,12 @@ class Stages:
             "domain", F.lower(F.try_element_at(c("dns.queries"), F.lit(1))["name"])
         )
         keys = ["capture_id", "width_us", "src_ip", "domain"]
-        asked = rows.select(*keys, "ts_us", "trigger_frame").distinct()
+        asked = rows.where(c("domain").isNotNull()).select(*keys, "ts_us", "trigger_frame").distinct()
         events = hostwindows.with_widths(self.events, [self.width_s]).withColumn("domain", F.explode("domains"))
         seen = hostwindows.sub_key_totals(events, keys, {"query_frequency": F.lit(1)}, points=asked).where("is_point")
         counts = seen.select(*keys, c("at_us").alias("ts_us"), c("seq").alias("trigger_frame"), "query_frequency")
-        return rows.join(counts, [*keys, "ts_us", "trigger_frame"])
+        # A query without a name has no count, and keeps its row.
+        return rows.join(counts, [*keys, "ts_us", "trigger_frame"], "left")
 
     def dns(self, hash_fn: str = "blake2b") -> DataFrame:
         return features.dns_features(self.query_counts(), hash_fn)
@@ -167,12 +167,14 @@ class Stages:
 
     @cached_property
     def kept_alerts(self) -> DataFrame:
-        return checkpoint(alerts.dedupe_alerts(self.alerts, max_fold=self.max_fold))
+        return checkpoint(alerts.dedupe_alerts(self.alerts))
 
     @cached_property
     def frame_log(self) -> DataFrame:
         """One row per frame with its fate; frames of no known protocol count as skipped."""
-        marked = packets.mark_out_of_order(self.packets)
+        known = packets.mark_out_of_order(packets.known_protocols(self.packets))
+        others = self.packets.where(F.col("protocol") == "OTHER").withColumn("late", F.lit(False))
+        marked = known.unionByName(others)
         fresh = self.flow_packets.where("is_new").select("capture_id", "frame_no", F.lit(True).alias("_new"))
         skipped = F.col("protocol") == "OTHER"
         return marked.join(fresh, ["capture_id", "frame_no"], "left").select(

@@ -21,7 +21,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     c = e.selectExpr(
         "*",
-        "case when k % 50 = 0 then 'ICMP' when event_type = 'error' then 'UDP' else 'TCP' end as protocol",
+        "case when k % 50 = 0 then 'ICMP' when k % 50 = 1 then 'OTHER' when event_type = 'error' then 'UDP' else 'TCP' end as protocol",
         "concat('10.0.', user_id div 256, '.', user_id % 256) as client_ip",
         "concat('192.0.2.', case when user_id % 10 = 0 then k % 50 else user_id % 4 end) as server_ip",
         "cast(40000 + user_id % 1000 as int) as client_port",
@@ -35,11 +35,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts_us",
         "case when reply then server_ip else client_ip end as src_ip",
         "case when reply then client_ip else server_ip end as dst_ip",
-        "case when protocol = 'ICMP' then null when reply then server_port else client_port end as src_port",
-        "case when protocol = 'ICMP' then null when reply then client_port else server_port end as dst_port",
+        "case when protocol in ('ICMP', 'OTHER') then null when reply then server_port else client_port end as src_port",
+        "case when protocol in ('ICMP', 'OTHER') then null when reply then client_port else server_port end as dst_port",
         "protocol",
         "cast(60 + v as bigint) as packet_length",
-        "cast(case when protocol = 'ICMP' then null else v end as bigint) as payload_length",
+        "cast(case when protocol in ('ICMP', 'OTHER') then null else v end as bigint) as payload_length",
         "case when protocol <> 'TCP' then null else split(case event_id % 4 when 0 then 'SYN' "
         "when 1 then 'SYN|ACK' when 2 then 'ACK' else 'PSH|ACK' end, '\\\\|') end as tcp_flags",
         "case when protocol = 'UDP' then named_struct('queries', array(named_struct('name', "

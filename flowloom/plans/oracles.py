@@ -55,7 +55,7 @@ with e as (
          1704067200000000 + (epoch_us(ts) - 1704067200000000) // 5000 as ts_us
   from events),
 c as (
-  select *, case when k % 50 = 0 then 'ICMP' when event_type = 'error' then 'UDP' else 'TCP' end as protocol,
+  select *, case when k % 50 = 0 then 'ICMP' when k % 50 = 1 then 'OTHER' when event_type = 'error' then 'UDP' else 'TCP' end as protocol,
          concat('10.0.', cast(user_id // 256 as varchar), '.', cast(user_id % 256 as varchar)) as client_ip,
          concat('192.0.2.', cast(case when user_id % 10 = 0 then k % 50 else user_id % 4 end as varchar)) as server_ip,
          cast(40000 + user_id % 1000 as int) as client_port,
@@ -68,10 +68,10 @@ select 'cap0' as capture_id,
        ts_us,
        case when reply then server_ip else client_ip end as src_ip,
        case when reply then client_ip else server_ip end as dst_ip,
-       case when protocol = 'ICMP' then null when reply then server_port else client_port end as src_port,
-       case when protocol = 'ICMP' then null when reply then client_port else server_port end as dst_port,
+       case when protocol in ('ICMP', 'OTHER') then null when reply then server_port else client_port end as src_port,
+       case when protocol in ('ICMP', 'OTHER') then null when reply then client_port else server_port end as dst_port,
        protocol, cast(60 + v as bigint) as packet_length,
-       cast(case when protocol = 'ICMP' then null else v end as bigint) as payload_length,
+       cast(case when protocol in ('ICMP', 'OTHER') then null else v end as bigint) as payload_length,
        case when protocol <> 'TCP' then null when event_id % 4 = 0 then 'SYN' when event_id % 4 = 1 then 'SYN|ACK'
             when event_id % 4 = 2 then 'ACK' else 'PSH|ACK' end as tcp_flags,
        case when protocol = 'UDP' then concat('h', cast(k as varchar), '-', cast(user_id % 10 as varchar), '.zone.example') end as dns_name,
@@ -84,7 +84,7 @@ from c""")
 
 block("marked", """
 select *, coalesce(ts_us < max(ts_us) over (partition by capture_id order by frame_no
-          rows between unbounded preceding and 1 preceding), false) as late from packets""", "packets")
+          rows between unbounded preceding and 1 preceding), false) as late from packets where protocol <> 'OTHER'""", "packets")
 
 block("keyed", f"""
 select *, case when first then src_ip else dst_ip end as a_ip, case when first then src_port else dst_port end as a_port,
@@ -374,7 +374,8 @@ select r.* from ranked r join k using (threat_class, src_ip, dst_ip, decision) w
 block("frame_log", """
 select m.capture_id, m.frame_no, m.ts_us, m.protocol, case when m.late then 'late' else 'parsed' end as status,
        m.packet_length as frame_length, coalesce(f.is_new, false) as is_new
-from marked m left join fp f using (capture_id, frame_no)""", "marked", "fp")
+from marked m left join fp f using (capture_id, frame_no)
+union all select capture_id, frame_no, ts_us, protocol, 'skipped', packet_length, false from packets where protocol = 'OTHER'""", "packets", "marked", "fp")
 
 block("domains", r"select page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) as domain from pages")
 

@@ -13,6 +13,7 @@ from flowloom.operators.flows import FLOW
 from flowloom.plans import inputs
 from flowloom.plans.catalog import big, joined, query, r6, stages
 from flowloom.plans.oracles import BEHAVIOUR_COLUMNS, WINDOW_ID, block, digest, iso, sql
+from flowloom.session import checkpoint
 from flowloom.sources.captures import packets_from_frames
 
 c = F.col
@@ -79,7 +80,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
         udp, F.concat(hexed(c("src_port"), 4), hexed(c("dst_port"), 4), hexed(size + 8, 4), F.lit("0000"))
     ).otherwise(F.lit("0800" + "0" * 12))
     vlan = F.when(c("frame_no") % 3 == 0, F.lit("81000005")).otherwise(F.lit(""))
-    number = F.when(tcp, F.lit(6)).when(udp, F.lit(17)).otherwise(F.lit(1))
+    number = F.when(tcp, F.lit(6)).when(udp, F.lit(17)).when(c("protocol") == "ICMP", F.lit(1)).otherwise(F.lit(47))
     # Every 11th frame is a fragment and every 13th is cut short; both must be dropped.
     fragment = F.when(c("frame_no") % 11 == 0, F.lit("2000")).otherwise(F.lit("0000"))
     total = size + head + 20 + F.when(c("frame_no") % 13 == 0, F.lit(9)).otherwise(F.lit(0))
@@ -94,7 +95,7 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
 @query("packet_projection", sql("""select frame_no, ts_us, src_ip, dst_ip, cast(src_port as bigint) as src_port, cast(dst_port as bigint) as dst_port,
   protocol, payload_length, 14 + case when frame_no % 3 = 0 then 4 else 0 end + 20 + case protocol when 'TCP' then 20 else 8 end
   + coalesce(payload_length, 0) as packet_length, array_to_string(list_reverse_sort(string_split(tcp_flags, '|')), ',') as tcp_flags
-  from packets where frame_no % 11 <> 0 and frame_no % 13 <> 0""", "packets"))
+  from packets where frame_no % 11 <> 0 and frame_no % 13 <> 0 and protocol <> 'OTHER'""", "packets"))
 def packet_projection(spark, sf):
     return packets_from_frames(frames(spark, sf)).select(
         "frame_no", "ts_us", "src_ip", "dst_ip", big("src_port"), big("dst_port"), "protocol", "payload_length",
@@ -163,7 +164,7 @@ def validate_alerts(spark, sf):
 # --- order, endpoints, ids ------------------------------------------------------------------------
 @query("drop_out_of_order", sql("select frame_no, ts_us, late from marked", "marked"))
 def drop_out_of_order(spark, sf):
-    return packets.mark_out_of_order(inputs.packets(spark, sf)).select("frame_no", "ts_us", "late")
+    return packets.mark_out_of_order(packets.known_protocols(inputs.packets(spark, sf))).select("frame_no", "ts_us", "late")
 
 
 @query("canonical_endpoints", sql("select frame_no, a_ip, cast(a_port as bigint) as a_port, b_ip, cast(b_port as bigint) as b_port from keyed", "keyed"))
@@ -249,9 +250,8 @@ def flow_sessions_active(spark, sf):
 def new_flow_marks(spark, sf):
     s = stages(spark, sf)
     per_key = flows.flow_identities(s.flow_packets, exact=False).select("flow_start", c("ordinal").alias("key_ordinal"))
-    return s.identities.join(per_key, "flow_start").select(
-        c("flow_start").alias("frame_no"), F.lit(True).alias("is_new"), "ordinal", big("key_ordinal")
-    )
+    marks = s.flow_packets.where("is_new").select("flow_start", "frame_no", "is_new")
+    return s.identities.join(per_key, "flow_start").join(marks, "flow_start").select("frame_no", "is_new", "ordinal", big("key_ordinal"))
 
 
 @query("flow_records", sql("""select flow_start, a_ip, b_ip, protocol, start_us, last_seen_us, packets_a_to_b, packets_b_to_a, bytes_a_to_b, bytes_b_to_a,
@@ -723,9 +723,9 @@ def latest_alerts(spark, sf):
 
 @query("alert_lookup", sql("select alert_id, last_seen_us as ts_us, threat_class, decision from alerts where alert_id = (select max(alert_id) from alerts)", "alerts"))
 def alert_lookup(spark, sf):
-    a = stages(spark, sf).alerts
-    newest = a.agg(F.max("alert_id").alias("wanted"))
-    return al.alert_by_id(a.crossJoin(F.broadcast(newest)), c("wanted")).select("alert_id", "ts_us", "threat_class", "decision")  # one row
+    stored = checkpoint(stages(spark, sf).alerts.select("alert_id", "ts_us", "threat_class", "decision"))
+    newest = stored.agg(F.max("alert_id")).first()[0]
+    return al.alert_by_id(stored, newest)  # a literal: the scan gets it as a filter
 
 
 EVIDENCE_SQL = sql("select alert_id, flow_start, trigger_frame, unnest([" + ", ".join(
@@ -754,7 +754,7 @@ def ingest_counters(spark, sf):
 
 @query("protocol_counts", sql("select capture_id, protocol, count(*) as packets from keyed group by all", "keyed"))
 def protocol_counts(spark, sf):
-    return telemetry.protocol_counts(packets.drop_out_of_order(inputs.packets(spark, sf)))
+    return telemetry.protocol_counts(packets.drop_out_of_order(packets.known_protocols(inputs.packets(spark, sf))))
 
 
 @query("stage_percentiles", """select event_type as stage, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, count(*) as samples

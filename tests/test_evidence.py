@@ -59,8 +59,7 @@ def test_truth_table(spark):
     ]
 
 
-@pytest.mark.parametrize("fold", [1000, 0])
-def test_suppression_counts_from_the_last_kept_alert(spark, fold):
+def test_suppression_counts_from_the_last_kept_alert(spark):
     rng = random.Random(4)
     rows, expected, last = [], set(), {}
     for i in range(200):
@@ -72,7 +71,7 @@ def test_suppression_counts_from_the_last_kept_alert(spark, fold):
             last[key] = t
     df = spark.createDataFrame(rows, "alert_id string, flow_id string, window_id string, ts_us long, threat_class string, "
                                "source_ip string, destination_ip string, detector_id string, decision string")
-    assert {r["alert_id"] for r in alerts.dedupe_alerts(df, max_fold=fold).collect()} == expected
+    assert {r["alert_id"] for r in alerts.dedupe_alerts(df).collect()} == expected
 
 
 def test_ids(spark):

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.fixed import ACTIVE_US, IDLE_US
-from flowloom.operators import flows, packets
-from flowloom.operators.scan import greedy_chain
+from flowloom.operators import flows, packets, scan
+from flowloom.plans import chain, inputs
 
 SCHEMA = (
     "capture_id string, frame_no long, ts_us long, src_ip string, dst_ip string, src_port int, dst_port int, "
@@ -65,11 +65,11 @@ def model_flows(rows):
     return {f["id"]: (f["first"], f["start"], f["last"], len(f["sizes"]), f["ab"], sum(f["sizes"])) for f in out.values()}
 
 
-@pytest.mark.parametrize("chunk,fold", [(1 << 17, 100_000), (7, 100_000), (7, 0)])
-def test_flows_equal_the_rules(spark, chunk, fold):
-    rows = random_rows(400 if fold else 150, seed=chunk + fold)
+@pytest.mark.parametrize("chunk", [1 << 17, 7])
+def test_flows_equal_the_rules(spark, chunk):
+    rows = random_rows(400, seed=chunk)
     ordered = packets.canonical_endpoints(packets.drop_out_of_order(frame_of(spark, rows), chunk))
-    fp = flows.assign_flows(ordered, chunk_frames=chunk, max_fold=fold)
+    fp = flows.assign_flows(ordered, chunk_frames=chunk)
     got = flows.aggregate_flows(fp).join(flows.flow_identities(fp, chunk), flows.FLOW).collect()
     found = {
         r["flow_id"]: (r["flow_start"], r["start_us"], r["last_seen_us"], r["packets_a_to_b"] + r["packets_b_to_a"],
@@ -79,12 +79,13 @@ def test_flows_equal_the_rules(spark, chunk, fold):
     assert found == model_flows(rows)
 
 
-@pytest.mark.parametrize("fold", [1000, 0])
-def test_greedy_chain_both_ways(spark, fold):
-    rng = random.Random(5)
+@pytest.mark.parametrize("widths,span", [(16, 5000), (1, 5000), (3, 60_000)])
+def test_greedy_chain_equals_the_rule(spark, monkeypatch, widths, span):
+    monkeypatch.setattr(scan, "CHAIN_WIDTHS", widths)
+    rng = random.Random(widths + span)
     rows, expected = [], set()
-    for key in range(3):
-        times = sorted(rng.randrange(0, 5000) for _ in range(300))
+    for key in [0, 1, None]:
+        times = sorted(rng.randrange(-span // 2, span) for _ in range(300))
         last = None
         for pos, t in enumerate(times):
             rows.append((key, t, pos))
@@ -92,11 +93,28 @@ def test_greedy_chain_both_ways(spark, fold):
                 expected.add((key, t))
                 last = t
     df = spark.createDataFrame(rows, "k int, ts_us long, pos long")
-    got = greedy_chain(df, ["k"], 70, max_fold=fold).collect()
+    got = scan.greedy_chain(df, ["k"], 70).collect()
     assert {(r["k"], r["ts_us"]) for r in got} == expected
     assert all(r["pos"] == min(p for k, t, p in rows if (k, t) == (r["k"], r["ts_us"])) for r in got)
 
 
+def test_other_protocols_and_hidden_names(spark, sf):
+    derived = inputs.packets(spark, sf)
+    stages = chain.Stages(derived)
+    assert stages.flow_packets.where("protocol = 'OTHER'").count() == 0
+    log = {r["status"]: r["count"] for r in stages.frame_log.groupBy("status").count().collect()}
+    assert log["skipped"] == derived.where("protocol = 'OTHER'").count() > 0
+    assert sum(log.values()) == derived.count()
+    name = F.when(F.col("frame_no") % 3 == 0, F.lit(None).cast("string")).otherwise(F.col("dns.queries")[0]["name"])
+    hidden = F.struct(F.array(F.struct(name.alias("name"), F.lit(1).alias("type"))).alias("queries"))
+    some = chain.Stages(derived.withColumn("dns", F.when(F.col("dns").isNotNull(), hidden)))
+    asked = some.snapshot_rows.where("dns is not null")
+    vectors = some.dns()
+    assert vectors.count() == asked.count()
+    nameless = asked.where("dns.queries[0].name is null").count()
+    assert vectors.where("feature__query_frequency is null").count() == nameless > 0
+
+
 def test_idle_boundary_is_inclusive(spark):
     rows = [packet(1, 0, "10.0.0.1", "10.0.0.2"), packet(2, IDLE_US - 1, "10.0.0.2", "10.0.0.1", 443, 50000),
             packet(3, 2 * IDLE_US - 1, "10.0.0.1", "10.0.0.2")]
@@ -166,13 +184,13 @@ def model_snapshots(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed,fold", [(1, 100_000), (2, 0)])
-def test_snapshots_equal_the_rules(spark, seed, fold):
-    rows = random_rows(250 if fold else 100, seed, hosts=3)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_snapshots_equal_the_rules(spark, seed):
+    rows = random_rows(250, seed, hosts=3)
     ordered = packets.canonical_endpoints(packets.drop_out_of_order(frame_of(spark, rows)))
     fp = flows.assign_flows(ordered)
     closes = flows.flow_close_events(fp, flows.aggregate_flows(fp))
-    ticks = flows.snapshot_ticks(fp, max_fold=fold)
+    ticks = flows.snapshot_ticks(fp)
     got = flows.flow_snapshots(fp, closes, ticks).collect()
     found = sorted((r["flow_start"], r["packet_count"], r["observed_us"], r["trigger_frame"], r["snapshot_reason"]) for r in got)
     assert found == model_snapshots(rows)
