@@ -1,7 +1,7 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and scores from the context of each hit.
 
-The lexicon holds stems. Some are given (``SEEDS``); the others are learned: word beginnings that tell toxic from other labelled
-texts, by information gain. All stems are one trie. A word that may be misspelled is the input of a Levenshtein automaton, whose states
+The lexicon holds stems. Some are given (``SEEDS``); the others are learned: words and word beginnings that hardly occur in clean
+labelled texts, by information gain. A whole word ends with ``$``. All stems are one trie. A word that may be misspelled is the input of a Levenshtein automaton, whose states
 (one small row of edit counts) are carried along the branches of the trie; a branch dies when no count is left within the limit. So one
 walk compares the word with all stems. Words pass a cheap test before: with one edit at most, one half of a stem is intact.
 
@@ -32,12 +32,14 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon and the weights are learned from, at most.
 FIT_ROWS = 20_000
-STEMS = 60
-STEM_LENGTHS = range(4, 9)
+STEMS = 100
+STEM_LENGTHS = range(4, 13)
+#: Share of toxic texts among those with a learned stem, if both kinds were equally many, at least.
+LEAST_PURITY = 0.95
 #: Fewest toxic rows of the sample with a stem.
 LEAST_TOXIC = 4
 #: Information gain, in bits a row, that a learned stem brings at least.
-LEAST_GAIN = 0.002
+LEAST_GAIN = 0.001
 #: Words that a task remembers; past it the memory starts anew.
 CACHE_WORDS = 400_000
 WINDOW = 4
@@ -114,6 +116,7 @@ class Hits(dict):
         word = _DROP.sub("", raw.lower())
         found = None
         if len(word) >= 3:
+            word += "$"
             stem = self.trie.exact(word)
             if stem is not None:
                 found = (stem, False)
@@ -139,20 +142,19 @@ def context_score(words: list[str], at: int) -> float:
 
 
 def features(text: str, hits: Hits, stems: int) -> np.ndarray:
-    """Bias, weighted hits by stem (exact, then misspelled), whether there is one, all hits, their density."""
+    """Bias, weighted hits by stem (exact, then misspelled), for either kind whether there is one and all hits, density."""
     words = text.split()
-    out = np.zeros(4 + 2 * stems)
+    out = np.zeros(6 + 2 * stems)
     out[0] = 1.0
-    total = 0.0
+    total = [0.0, 0.0]
     for at, hit in enumerate(map(hits.__getitem__, words)):
         if hit is not None:
             weight = context_score(words, at)
             out[1 + hit[0] + stems * hit[1]] += weight
-            total += weight
+            total[hit[1]] += weight
     out[1 : 1 + 2 * stems] = np.log1p(out[1 : 1 + 2 * stems])
-    out[-3] = min(1.0, total)
-    out[-2] = np.log1p(total)
-    out[-1] = min(10.0, 100.0 * total / (len(words) + 20))
+    out[-5:-1] = [min(1.0, total[0]), np.log1p(total[0]), min(1.0, total[1]), np.log1p(total[1])]
+    out[-1] = min(10.0, 100.0 * total[0] / (len(words) + 20))
     return out
 
 
@@ -169,7 +171,7 @@ def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch
 
     for text, toxic in rows_of(batches):
-        words = {_DROP.sub("", w.lower()) for w in set(text.split())}
+        words = {_DROP.sub("", w.lower()) + "$" for w in set(text.split())}
         counts[toxic == 1].update({w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n})
         if len(counts[False]) + len(counts[True]) > 500_000:
             yield taken()
@@ -184,7 +186,7 @@ def learned_stems(sample: DataFrame) -> list[str]:
         return list(SEEDS)
     counted = map_batches(sample.select("text", "toxic"), _beginnings, "stem string, toxic long, clean long")
     summed = counted.groupBy("stem").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(
-        (F.col("a") >= LEAST_TOXIC) & (F.col("a") * c > 2 * F.col("b") * t))
+        (F.col("a") >= LEAST_TOXIC) & (F.col("a") * c >= LEAST_PURITY * (F.col("a") * c + F.col("b") * t)))
 
     def entropy(a, b):
         """Bits of a rows against b, times their number."""
@@ -210,11 +212,11 @@ def _sample_features(batches: Iterator[pa.RecordBatch], stems: list[str]) -> Ite
 
 def prior_of(stems: list[str]) -> np.ndarray:
     """Weights without any label: known insults count, misspelled ones somewhat less."""
-    prior = np.zeros(4 + 2 * len(stems))
+    prior = np.zeros(6 + 2 * len(stems))
     prior[0] = -2.0
     prior[1 : 1 + len(SEEDS)] = 2.0
     prior[1 + len(stems) : 1 + len(stems) + len(SEEDS)] = 1.5
-    prior[-2] = 1.0
+    prior[-4] = 1.0
     return prior
 
 
