@@ -19,7 +19,7 @@ HEADLINE = (
     "dirty_flow_snapshots", "src_window_volume", "src_window_diversity", "target_window", "burstiness",
     "total_window_packets", "temporal_snapshot", "behaviour_features", "evidence_gate", "dedupe_alerts",
     "rate_samples", "flow_model_features", "drop_conflicting", "dedupe_exact", "preparation_report",
-    "group_split", "class_thresholds", "classification_report",
+    "group_split", "class_thresholds", "classification_report", "capture_frames", "model_roundtrip", "stream_flows",
 )
 
 

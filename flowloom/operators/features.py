@@ -195,7 +195,9 @@ def tls_quic_features(rows: DataFrame, hash_fn: str = "blake2b") -> DataFrame:
 
 def feature_table(vectors: DataFrame, labels: DataFrame, on: list[str]) -> DataFrame:
     """Training table: label, group and source beside the vector. Broken tables fail on one aggregate."""
-    table = vectors.join(labels, on)
+    from flowloom.session import checkpoint
+
+    table = checkpoint(vectors.join(labels, on))  # checked and returned: joined once
     checks = table.agg(
         F.count("*").alias("n"),
         F.count_distinct("family", "schema_version").alias("kinds"),

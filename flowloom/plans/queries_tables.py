@@ -324,6 +324,9 @@ def calibration_error(spark, sf):
 
 
 # --- models (compared by rows and invariants, not by scores) --------------------------------------
+ROUNDTRIP_TREES = 20  # the query is about roles and packages; forest_scores is about the model
+
+
 def _training(spark, sf) -> tuple[DataFrame, DataFrame]:
     split = checkpoint(labelled.availability_flags(labelled.group_split(_unique(spark, sf))))
     return split.where("split = 'train'"), split.where("split <> 'train'")
@@ -353,17 +356,32 @@ def sigmoid_fit(spark, sf):
     return modeling.fit_sigmoid(_probabilities(spark, sf), MODEL_CLASSES, probability="probability")
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", sql("""select split as role, count(*) as rows, count(*) as sound, count(*) as same, 4 as thresholds
+  from unique_vectors join roles using (group_id) where split <> 'train' group by split""", "unique_vectors", "roles"))
 def model_roundtrip(spark, sf):
+    """Every role has its own use: trees from train, the sigmoid from calibration, thresholds from validation; test is only scored.
+
+    Scores themselves have no SQL. Per role: rows, rows whose probabilities sum to one, rows on which the loaded package
+    scores as the saved one, and the number of thresholds in the package.
+    """
     train, rest = _training(spark, sf)
-    model = modeling.train_forest(train, MODEL_CLASSES, trees=5, depth=5)
-    scored = modeling.score_forest(model, rest).withColumn("label_idx", evaluation.class_index(c("label")))
-    fit = modeling.fit_sigmoid(scored, MODEL_CLASSES)
+    model = modeling.train_forest(train, MODEL_CLASSES, trees=ROUNDTRIP_TREES)
+    scored = checkpoint(modeling.score_forest(model, rest).withColumn("label_idx", evaluation.class_index(c("label"))))
+    fit = checkpoint(modeling.fit_sigmoid(scored.where("split = 'calibration'"), MODEL_CLASSES))
+    own = modeling.coefficient_list(fit)
+    calibrated = scored.withColumn("calibrated", evaluation.apply_sigmoid(c("raw"), own))
+    reached = evaluation.class_thresholds(calibrated.where("split = 'validation'"), "calibrated").collect()  # one row per class
+    thresholds = {r["class_name"]: 1.0 if r["threshold"] is None else r["threshold"] for r in reached}  # none reached: never alert
     path = scratch(spark, "model")
-    modeling.save_package(path, model, MODEL_CLASSES, {n: 0.5 for n in MODEL_CLASSES}, fit)
-    loaded, classes, thresholds, coefficients = modeling.load_package(spark, path)
-    again = modeling.score_forest(loaded, rest).withColumn("calibrated", evaluation.apply_sigmoid(c("raw"), coefficients))
-    return evaluation.score_batch(again, classes=classes).select("source_name", "source_row", "threat_class", "raw_score", "calibrated_confidence")
+    modeling.save_package(path, model, MODEL_CLASSES, thresholds, fit)
+    loaded, classes, limits, coefficients = modeling.load_package(spark, path)
+    again = modeling.score_forest(loaded, rest).withColumn("again", evaluation.apply_sigmoid(c("raw"), coefficients))
+    both = again.select("source_name", "source_row", "again").join(calibrated, ["source_name", "source_row"])
+    apart = F.aggregate(F.zip_with("again", "calibrated", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda t, x: t + x)
+    total = F.aggregate("again", F.lit(0.0), lambda t, x: t + x)
+    return both.groupBy(c("split").alias("role")).agg(
+        F.count("*").alias("rows"), F.count_if(F.abs(total - 1) < 1e-9).alias("sound"), F.count_if(apart < 1e-12).alias("same"),
+        F.lit(len(limits)).alias("thresholds"))
 
 
 # --- sources and sinks ----------------------------------------------------------------------------
@@ -456,20 +474,24 @@ def alert_append(spark, sf):
 SLICES, FILES_PER_SLICE = 3, 4
 
 
-def _packet_folder(spark, sf) -> tuple[str, DataFrame]:
-    """Ordered packets written as time slices, so that the stream takes them in order."""
-    ordered = stages(spark, sf).ordered.select("capture_id", "flow_key", "frame_no", "ts_us", "src_ip", "direction", "packet_length")
-    path = scratch(spark, "packets")
-    span = ordered.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).first()
+def _sliced(spark, rows: DataFrame, name: str, *keys: str) -> str:
+    """Rows written as time slices, so that a stream takes them in order, and a closing marker after them."""
+    path = scratch(spark, name)
+    span = rows.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).first()
     step = (span["hi"] - span["lo"]) // SLICES + 1
     for i in range(SLICES):
-        slice_rows = ordered.where(((c("ts_us") - span["lo"]) / step).cast("int") == i)
-        slice_rows.repartition(FILES_PER_SLICE, "flow_key").write.mode("append").parquet(path)
-    return path, ordered
+        slice_rows = rows.where(((c("ts_us") - span["lo"]) / step).cast("int") == i)
+        slice_rows.repartition(FILES_PER_SLICE, *keys).write.mode("append").parquet(path)
+    streams.closing_marker(rows).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-@query("stream_rates", sql("""select capture_id, ts_us // 1000000 * 1000000 as interval_us, count(*) as packets, cast(sum(packet_length) as bigint) as bytes from keyed
-  where ts_us // 1000000 * 1000000 + 1000000 <= (select max(ts_us) // 1000 * 1000 - 1000000 from keyed) group by all""", "keyed"))
+def _packet_folder(spark, sf) -> tuple[str, DataFrame]:
+    ordered = stages(spark, sf).ordered.select("capture_id", "flow_key", "frame_no", "ts_us", "src_ip", "direction", "packet_length")
+    return _sliced(spark, ordered, "packets", "flow_key"), ordered
+
+
+@query("stream_rates", sql("""select capture_id, ts_us // 1000000 * 1000000 as interval_us, count(*) as packets, cast(sum(packet_length) as bigint) as bytes from keyed group by all""", "keyed"))
 def stream_rates(spark, sf):
     path, ordered = _packet_folder(spark, sf)
     out = scratch(spark, "rates")
@@ -480,7 +502,7 @@ def stream_rates(spark, sf):
 
 @query("stream_flows", sql("""select f.flow_start, f.start_us, f.last_seen_us, f.packets_a_to_b, f.packets_b_to_a, f.bytes_a_to_b + f.bytes_b_to_a as bytes,
   case when lead(f.flow_start) over (partition by f.capture_id, f.session_start order by f.flow_start) is not null then 'active' else 'idle' end as reason
-  from flows f qualify reason = 'active' or f.last_seen_us + 60000000 < (select max(ts_us) - 1000000 from fp)""", "flows", "fp"))
+  from flows f""", "flows"))
 def stream_flows(spark, sf):
     path, ordered = _packet_folder(spark, sf)
     out = scratch(spark, "flows")
@@ -492,19 +514,17 @@ def stream_flows(spark, sf):
 
 @query("stream_alerts", sql("select alert_id, flow_id, threat_class, decision from kept_alerts", "kept_alerts"))
 def stream_alerts(spark, sf):
-    path = scratch(spark, "alerts")
     alerts = stages(spark, sf).alerts.select(*ALERT_KEY, "ts_us", "flow_id", "alert_id")
-    alerts.write.parquet(path)
+    path = _sliced(spark, alerts, "alerts", *ALERT_KEY)
     out = scratch(spark, "kept")
-    source = streams.packet_stream(spark, path, alerts.schema, 1000)
+    source = streams.packet_stream(spark, path, alerts.schema, FILES_PER_SLICE)
     with streams.rocksdb(spark):
         streams.drain(streams.suppress_alerts(source), out, out + "-log")
     return spark.read.parquet(out).select("alert_id", "flow_id", "threat_class", "decision")
 
 
 @query("stream_host_counts", sql("""select src_ip, w * 1000000 as window_end_us, count(*) as packets, cast(sum(packet_length) as bigint) as bytes from (
-  select src_ip, packet_length, unnest(range(ts_us // 1000000 + 1, ts_us // 1000000 + 61)) as w from keyed)
-  where w * 1000000 <= (select max(ts_us) // 1000 * 1000 - 1000000 from keyed) group by all""", "keyed"))
+  select src_ip, packet_length, unnest(range(ts_us // 1000000 + 1, ts_us // 1000000 + 61)) as w from keyed) group by all""", "keyed"))
 def stream_host_counts(spark, sf):
     path, ordered = _packet_folder(spark, sf)
     out = scratch(spark, "hosts")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,8 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_WRITTEN: list[str] = []
+
 
 def build_session(app: str = "flowloom", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -39,6 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def temporary_stages(spark: SparkSession) -> Iterator[None]:
+    """Deletes the stage tables written inside when it ends. Results that read them must be written by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[before:]:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        del _WRITTEN[before:]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a stage table to the shared folder and read it back.
 
@@ -46,5 +63,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     columns they use, and lost executors cost no recomputation of what came before.
     """
     path = f"{shared_dir(df.sparkSession)}/flowloom-stage-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
