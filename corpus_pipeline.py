@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowloom.llm import decontaminate, neardup, packing, quality, secrets
 from flowloom.llm.common import table
 from flowloom.llm.queries import tokenizer_path
-from flowloom.session import shared_dir
+from flowloom.session import shared_dir, temporary_stages
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/flowloom-pipeline-{uuid.uuid4().hex}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary_stages(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
