@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.fixed import LATENCY_SAMPLES, RATE_INTERVAL_MS, RATE_SAMPLES
 from flowloom.functions.ids import floor_div
+from flowloom.operators.scan import chunk_scan
 
 SAMPLE_STRETCH = 200_000
+INTERVALS_PER_TASK = 4096
 
 
 def ingest_counters(frame_log: DataFrame) -> DataFrame:
@@ -54,8 +56,7 @@ def rate_samples(
 ) -> DataFrame:
     """Rates per event-time interval beside the counters so far; the newest ``keep`` intervals.
 
-    Frames are summed per interval before the running sums, whose rows are bounded by the capture's
-    length in time.
+    Frames are summed per interval before the running sums, which are scanned in stretches of intervals.
     """
     size = every_ms * 1000
     per_interval = frame_log.groupBy("capture_id", (floor_div(F.col("ts_us"), size) * size).alias("interval_us")).agg(
@@ -64,23 +65,24 @@ def rate_samples(
         F.count_if(F.col("is_new")).alias("_flows"),
         F.count_if(F.col("status") == "parsed").alias("_updates"),
     )
-    order = Window.partitionBy("capture_id").orderBy("interval_us")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    stretch = _stretch(size)
+    counters = {n: ("sum", F.col(f"_{n}"), True) for n in ("packets", "bytes", "flows", "updates")}
+    running = chunk_scan(per_interval, ["capture_id"], stretch, [F.col("interval_us")], counters)
     seconds = every_ms / 1000
-    out = per_interval.select(
-        "capture_id", "interval_us",
-        F.sum("_packets").over(upto).alias("packets"),
-        F.sum("_bytes").over(upto).alias("bytes"),
-        F.sum("_flows").over(upto).alias("flows"),
-        F.sum("_updates").over(upto).alias("flow_updates"),
+    if keep is not None:
+        later = {"_later": ("sum", F.lit(1).cast("long"), False)}
+        running = chunk_scan(running, ["capture_id"], stretch, [F.col("interval_us").desc()], later, reverse=True).where(F.col("_later") < keep)
+    return running.select(
+        "capture_id", "interval_us", "packets", "bytes", "flows", F.col("updates").alias("flow_updates"),
         (F.col("_packets") / seconds).alias("packets_per_second"),
         (F.col("_flows") / seconds).alias("flows_per_second"),
         (F.col("_bytes") * 8 / 1_000_000 / seconds).alias("mbps"),
     )
-    if keep is None:
-        return out
-    newest = Window.partitionBy("capture_id").orderBy(F.col("interval_us").desc())
-    return out.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= keep).drop("_r")
+
+
+def _stretch(interval_us: int) -> Column:
+    """Intervals that one task scans."""
+    return F.floor(F.col("interval_us") / F.lit(interval_us * INTERVALS_PER_TASK)).cast("long")
 
 
 def capture_summary(frame_log: DataFrame) -> DataFrame:
@@ -98,16 +100,17 @@ def capture_summary(frame_log: DataFrame) -> DataFrame:
 
 def timeline_points(samples: DataFrame) -> DataFrame:
     """Rates between consecutive samples of cumulative counters; never negative, the first point is 0."""
-    order = Window.partitionBy("capture_id").orderBy("interval_us")
     c = F.col
+    latest = F.struct("interval_us", "packets", "bytes", "flows")
+    rows = chunk_scan(samples, ["capture_id"], _stretch(RATE_INTERVAL_MS * 1000), [c("interval_us")], {"_before": ("max", latest, False)})
 
     def delta(name: str):
-        return F.greatest(F.coalesce(c(name) - F.lag(name).over(order), F.lit(0)), F.lit(0))
+        return F.greatest(F.coalesce(c(name) - c(f"_before.{name}"), F.lit(0)), F.lit(0))
 
     elapsed = F.coalesce(
-        F.greatest((c("interval_us") - F.lag("interval_us").over(order)) / 1_000_000, F.lit(0.001)), F.lit(1.0)
+        F.greatest((c("interval_us") - c("_before.interval_us")) / 1_000_000, F.lit(0.001)), F.lit(1.0)
     )
-    return samples.select(
+    return rows.select(
         "capture_id", "interval_us", "packets", "bytes", "flows",
         (delta("bytes") * 8 / elapsed / 1_000_000).alias("mbps"),
         (delta("packets") / elapsed).alias("packets_per_second"),
