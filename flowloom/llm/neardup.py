@@ -6,13 +6,15 @@ signature. Two sets of similarity 0.85 agree in 54 of 64 coordinates on average,
 1. Documents with equal sets become one class; the smallest id stands for it.
 2. Every coordinate with its value is a posting key. Keys of one class only match nothing: a class with fewer than MATCHES keys that others
    have, too, is out. Prefix: two classes that agree in MATCHES keys share one of the rarest (keys - MATCHES + 1) keys of each, so only these
-   are posted, and passages that very many documents share are hardly posted at all.
-3. Skip merging in rounds. First each posting list is merged with its smallest class as a hub: one candidate per class and hub. Classes that
-   ended up in one component skip each other from then on. The second round gives each class its best match of another component
-   in a list, the last one all matches of other components. Long lists are cut into blocks, pairs of which go to tasks.
-4. A candidate agrees in MATCHES coordinates; it becomes a link if 100 * intersection >= 85 * union holds for the full sets, read anew from the texts.
-
-So no link between different components is lost (but by MinHash itself), while a group of n near copies needs some n comparisons of sets, not n * n.
+   are posted, and passages that very many documents share are hardly posted at all. An exact test comes before: a class of which more
+   than 15 of 100 shingles occur in no other class that is left has no partner. It clears groups that are alike but not alike enough.
+3. Skip merging. Posting lists with the same smallest class, the hub, are merged. First every class of a list is a candidate of its hub
+   only. Classes that end up in one component skip each other from then on: only lists that hold several components are looked at again, in
+   blocks whose meetings go to tasks, and a task gives the few links that join components.
+4. A candidate agrees in MATCHES coordinates; it becomes a link if 100 * intersection >= 85 * union holds for the full sets, read anew from the
+   texts. Sets meet in tasks; no table of candidate pairs is ever made but the hubs' own.
+
+So no link between different components is lost (but by MinHash itself), while rows grow with the classes of a group, not with its pairs.
 Hub groups are salted, so one hub with very many candidates is spread over tasks.
 
 Defined cases: a document of fewer than five words has its whole sequence as its one shingle; null, empty and blank texts have the empty set and
@@ -36,7 +38,7 @@ from flowloom.session import checkpoint
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 40
 SIMILAR, OF = 85, 100
-#: Classes of one posting list that a task compares with each other.
+#: Classes of one list that meet as many others in a task.
 BLOCK_ROWS = 256
 #: Candidates of one hub in one task.
 HUB_ROWS = 256
@@ -136,70 +138,151 @@ def confirmed(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return checkpoint(map_batches(ordered, _confirm, "a long, b long").distinct())
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """Classes that may have a partner: rep, keys (all that others have, too), prefix (its rarest ones, rarest first)."""
-    keys = classes.select("rep", F.posexplode("signature").alias("k", "v")).select(
-        "rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+def _able(keys: DataFrame) -> DataFrame:
+    """From (rep, key): classes with MATCHES keys that others have, too: rep, those keys, and the rarest of them as prefix."""
     shared = checkpoint(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     of_class = keys.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("s"))
     able = of_class.where(F.size("s") >= MATCHES)
     return checkpoint(able.select("rep", F.col("s.key").alias("keys"), F.slice(F.col("s.key"), 1, F.size("s") - MATCHES + 1).alias("prefix")))
 
 
-def hub_candidates(posted: DataFrame) -> DataFrame:
-    """(a, b): every class of a posting list with the list's smallest class, where enough keys agree."""
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    for batch in batches:
+        ids, texts = (c.to_pylist() for c in batch.columns)
+        for at in range(0, len(ids), 32):
+            part = [shingle_set(t).view(np.int64) for t in texts[at : at + 32]]
+            yield batch_of({"rep": ids[at : at + 32], "shingles": part}, schema)
+
+
+def without_partner(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Stored ``reps`` (doc_id) that so many shingles of no other of them fill, that none can be similar enough: rep.
+
+    A partner holds 85 of 100 shingles at least. Ids with several texts are never named.
+    """
+    sets = map_batches(only_ids(rows, reps), _all_shingles, "rep long, shingles array<long>")
+    places = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.count("*").alias("n"), F.min("rep").alias("rep"))
+    own = places.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
+    size = sets.groupBy("rep").agg(F.sum(F.size("shingles")).alias("size"), F.count("*").alias("texts"))
+    return own.join(size, "rep").where((F.col("texts") == 1) & (OF * (F.col("size") - F.col("own")) < SIMILAR * F.col("size"))).select("rep")
+
+
+def postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Classes that may have a partner: rep, keys (all that others have, too), prefix (its rarest ones, rarest first)."""
+    keys = classes.select("rep", F.posexplode("signature").alias("k", "v")).select(
+        "rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+    able = _able(keys)
+    alone = checkpoint(without_partner(rows, checkpoint(able.select(F.col("rep").alias("doc_id")))))
+    return _able(able.join(alone, "rep", "left_anti").select("rep", F.explode("keys").alias("key")))
+
+
+def merged_lists(posted: DataFrame) -> DataFrame:
+    """(hub, rep): posting lists of the same smallest class are one list, which names a class once."""
     lists = posted.select("rep", F.explode("prefix").alias("key"))
-    hubs = checkpoint(lists.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    pairs = lists.join(hubs, "key").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = checkpoint(lists.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    return checkpoint(lists.join(hubs, "key").select("hub", "rep").distinct())
+
+
+def hub_candidates(posted: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b): every class of a list with the list's smallest class, where enough keys agree."""
+    pairs = lists.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     with_b = pairs.join(posted.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
     with_a = with_b.join(posted.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), "a")
     return checkpoint(with_a.where(F.size(F.array_intersect("ka", "kb")) >= MATCHES).select("a", "b"))
 
 
-def _merge(key: tuple, group: pa.Table, best_only: bool) -> pa.Table:
-    """Matching pairs of different components in one pair of blocks of a list; a pair counts at its first common prefix key only."""
-    this, i, j = key[0].as_py(), key[1].as_py(), key[2].as_py()
+def block_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, i, j, block, rep, comp): lists that still hold more than one component, cut into blocks; a row for every meeting of its block.
+
+    A component with BLOCK_ROWS classes in a list has blocks of its own, which do not meet each other; the others share blocks.
+    """
+    named = labels.withColumnRenamed("node", "rep")
+    known = lists.join(named, "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = checkpoint(known.groupBy("hub", "comp").agg(F.count("*").alias("n")))
+    mixed = sizes.groupBy("hub").agg(F.count("*").alias("comps")).where("comps > 1").select("hub")
+    pool = F.when(F.col("n") >= BLOCK_ROWS, F.col("comp")).otherwise(F.lit(None).cast("long"))
+    pooled = sizes.join(mixed, "hub", "left_semi").select("hub", pool.alias("pool"), "n").groupBy("hub", "pool").agg(
+        F.ceil(F.sum("n") / BLOCK_ROWS).cast("long").alias("blocks"))
+    earlier = Window.partitionBy("hub").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)
+    placed = checkpoint(pooled.select("hub", F.col("pool").alias("_pool"), "blocks", F.coalesce(F.sum("blocks").over(earlier), F.lit(0)).alias("base"),
+                                      F.sum("blocks").over(Window.partitionBy("hub")).alias("all")))
+    own = known.join(sizes, ["hub", "comp"]).withColumn("pool", pool)
+    cut = own.join(placed, "hub").where(F.col("pool").eqNullSafe(F.col("_pool"))).withColumn(
+        "block", F.col("base") + F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    away = lambda x: F.col("pool").isNull() | (x < F.col("base")) | (x >= F.col("base") + F.col("blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), away)
+    met = cut.select("hub", "rep", "comp", "block", F.explode(others).alias("other"))
+    return met.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp")
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets on the left with sets on the right, by products of 0/1 matrices over shared shingles."""
+    values, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    sides = np.repeat([0, 1], [sum(map(len, left)), sum(map(len, right))])
+    both = (np.bincount(at[sides == 0], minlength=len(values)) > 0) & (np.bincount(at[sides == 1], minlength=len(values)) > 0)
+    column = np.cumsum(both) - 1
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
+    kept = both[at]
+    owner, column = owner[kept], column[at[kept]]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(both.sum()), 8192):  # bounds the matrices, whatever the sets' sizes
+        begin, end = np.searchsorted(column, [first, first + 8192])
+        grid = np.zeros((len(left) + len(right), 8192), dtype=np.float32)
+        grid[owner[begin:end], column[begin:end] - first] = 1
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return np.rint(out).astype(np.int64)
+
+
+def _merge(key: tuple, group: pa.Table) -> pa.Table:
+    """Links between different components in one meeting of two blocks: as many as join what they link, no more."""
+    i, j = key[1].as_py(), key[2].as_py()
     reps, comps, blocks = (group[c].to_numpy() for c in ("rep", "comp", "block"))
-    prefixes = group["prefix"].to_pylist()
     grid = np.full((len(reps), COORDINATES), -1, dtype=np.int64) - np.arange(len(reps))[:, None]  # what is not shared matches nothing
     for row, keys in enumerate(group["keys"].to_pylist()):
         own = np.array(keys, dtype=np.int64)
         grid[row, own >> 32] = own & 0xFFFFFFFF
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in group["shingles"].to_pylist()]
+    size = np.array([len(x) for x in sets])
     left, right = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
-    a_out, b_out = [], []
-    for row in left.tolist():
-        others = right[right > row] if i == j else right
-        others = others[comps[others] != comps[row]]
-        agree = (grid[others] == grid[row]).sum(axis=1)
-        good = others[agree >= MATCHES]
-        if best_only and len(good):
-            good = others[[int(agree.argmax())]]
-        for other in good.tolist():
-            theirs = set(prefixes[other])
-            if best_only or next(k for k in prefixes[row] if k in theirs) == this:
-                a_out.append(int(min(reps[row], reps[other])))
-                b_out.append(int(max(reps[row], reps[other])))
-    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-
-def cross_candidates(posted: DataFrame, labels: DataFrame, best_only: bool) -> DataFrame:
-    """(a, b): matches of classes in different components. ``labels``: stored (node, component)."""
-    known = posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "rep", F.coalesce("component", "rep").alias("comp"), "keys", "prefix")
-    lists = known.select("rep", "comp", F.explode("prefix").alias("key"))
-    mixed = checkpoint(lists.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
-        "low != high").select("key", F.ceil(F.col("n") / BLOCK_ROWS).alias("blocks")))
-    cut = known.select("rep", "comp", "keys", "prefix", F.explode("prefix").alias("key")).join(mixed, "key").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    # A block meets every block of its list once: one copy of a row for each.
-    met = cut.select("key", "rep", "comp", "keys", "prefix", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "comp", "keys", "prefix")
-
-    def work(key: tuple, group: pa.Table) -> pa.Table:
-        return _merge(key, group, best_only)
-
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
-    return checkpoint(pairs)
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        agree = np.zeros((len(left), len(right)), dtype=np.int16)
+        for k in range(COORDINATES):
+            agree += grid[left, k][:, None] == grid[right, k][None, :]
+        able = (agree >= MATCHES) & (comps[left][:, None] != comps[right][None, :])
+        a, b = size[left][:, None], size[right][None, :]
+        able &= OF * np.minimum(a, b) >= SIMILAR * np.maximum(a, b)
+        if able.any():
+            rows, columns = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
+            able, left, right = able[np.ix_(rows, columns)], left[rows], right[columns]
+            common = intersections([sets[x] for x in left], [sets[x] for x in right])
+            linked = able & (OF * common >= SIMILAR * (size[left][:, None] + size[right][None, :] - common))
+            parent = {int(c): int(c) for c in comps}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                one, two = root(int(comps[left[x]])), root(int(comps[right[y]]))
+                if one != two:
+                    parent[one] = two
+                    found.append((int(reps[left[x]]), int(reps[right[y]])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def cross_links(rows: DataFrame, posted: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of one list in different components. ``labels``: stored (node, component)."""
+    dealt = checkpoint(block_pairs(lists, labels))
+    involved = checkpoint(dealt.select(F.col("rep").alias("doc_id")).distinct())
+    sets = map_batches(only_ids(rows, involved), _sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep")
+    load = checkpoint(sets.join(posted.select("rep", "keys"), "rep"))
+    full = dealt.join(load, "rep").select("hub", "i", "j", "block", "rep", "comp", "keys", "shingles")
+    return checkpoint(full.groupBy("hub", "i", "j").applyInArrow(_merge, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,18 +292,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     known = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = checkpoint(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
                                                     F.first("signature").alias("signature")))
-    posted = postings(classes)
     named = rows.where("doc_id is not null")
-    links = confirmed(named, hub_candidates(posted))
+    posted = postings(named, classes)
+    lists = merged_lists(posted)
+    links = confirmed(named, hub_candidates(posted, lists))
     labels = checkpoint(components(links))
-    for best_only in (True, False):
-        more = cross_candidates(posted, labels, best_only)
-        if more.isEmpty():
-            if best_only:
-                break
-            continue
-        links = checkpoint(links.unionByName(confirmed(named, more)).distinct())
-        labels = checkpoint(components(links))
+    more = cross_links(named, posted, lists, labels)
+    if not more.isEmpty():
+        labels = checkpoint(components(links.unionByName(more)))
     copies = checkpoint(classes.where("copies > 1").select("digest", "rep"))
     found = sketch.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
