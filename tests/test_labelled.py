@@ -145,3 +145,15 @@ def test_package_is_not_overwritten(spark, tmp_path):
         modeling.save_package(path, model, MODEL_CLASSES, dict.fromkeys(MODEL_CLASSES, 0.5), fit)
     with pytest.raises(ValueError):
         modeling.check_package(MODEL_CLASSES, {"DDOS": 0.5})
+
+
+def test_stable_buckets_of_whole_names(spark):
+    from hashlib import blake2b, sha256
+
+    from flowloom.functions.text import stable_bucket
+
+    names = ["", "a.example", "m.ththth.example.net", "é" * 40]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for fn, digest in (("blake2b", lambda b: blake2b(b, digest_size=8).digest()), ("sha2", lambda b: sha256(b).digest()[:8])):
+        got = [r[0] for r in df.select(stable_bucket(F.col("n"), 8, fn)).collect()]
+        assert got == [int.from_bytes(digest(n.encode()), "big") % 8 for n in names]
