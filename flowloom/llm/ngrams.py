@@ -22,6 +22,7 @@ are 0 and every token has probability 1; rows without an id count as the id '';
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -38,7 +39,7 @@ from flowloom.session import checkpoint
 FOLDS, HELD_OUT, TUNING = 5, 1, 4  # crc32 of the id modulo FOLDS: 1 is scored only, 4 tunes the weights
 BLOCK_TOKENS = 1_500_000
 #: Entries that one hash range holds, over all blocks, about.
-RANGE_ENTRIES = 1_500_000
+RANGE_ENTRIES = 1_000_000
 BUCKETS = 40
 #: Steps of the held-out table for each of two ratios, in halves of a factor of two.
 STEPS = 96
@@ -76,16 +77,28 @@ class Block:
         self.name = f"{place}-{digest.hexdigest()}"
         fold_of_token = np.repeat(self.folds, self.lengths)
         self.tuning, self.training = fold_of_token == TUNING, fold_of_token != HELD_OUT
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        before[self.first] = len(words)  # the start mark
-        self.before = before
-        self.contexts = np.append(words, _START)
-        #: Sorted distinct hashes that the block asks for, and where each token finds its own.
-        self.word_keys, spot = np.unique(self.contexts, return_inverse=True)
-        self.word_at, self.before_at = spot[tokens], spot[before]
-        self.pair_keys, self.pair_at = np.unique(mix(self.contexts[before] + mix(words[tokens])), return_inverse=True)
+
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The word before each token; a document's first token follows the start mark, which comes after all words."""
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = len(self.words)
+        return before
+
+    @cached_property
+    def asked_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct hashes of words and the start mark, and where each token and each context finds its own."""
+        keys, spot = np.unique(np.append(self.words, _START), return_inverse=True)
+        spot = spot.astype(np.int32)
+        return keys, spot[self.tokens], spot[self.before]
+
+    @cached_property
+    def asked_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        contexts = np.append(self.words, _START)
+        keys, at = np.unique(mix(contexts[self.before] + mix(self.words[self.tokens])), return_inverse=True)
+        return keys, at.astype(np.int32)
 
     def counts(self, at: np.ndarray, n: int) -> np.ndarray:
         """Occurrences per key in training documents for the estimates, and in those for tuning."""
@@ -110,7 +123,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
         words = words_of(text)
         words.append(b"\n")
         number = known.setdefault
-        tokens.append(np.fromiter((number(w, len(known)) for w in words), dtype=np.int64, count=len(words)))
+        tokens.append(np.fromiter((number(w, len(known)) for w in words), dtype=np.int32, count=len(words)))
         ids.append(doc_id)
         lengths.append(len(words))
         size += len(words)
@@ -129,7 +142,7 @@ def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _ask(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
-        for kind, keys, at in ((WORD, block.word_keys, block.word_at), (PAIR, block.pair_keys, block.pair_at)):
+        for kind, (keys, at, *_) in ((WORD, block.asked_words), (PAIR, block.asked_pairs)):
             both = [keys, block.counts(at, len(keys))]
             if kind == WORD:  # a start mark is the context of every document's first token
                 starts = np.searchsorted(keys, _START)
@@ -194,7 +207,7 @@ def _read_block(body: bytes) -> Block:
 
     place = take("u1", letters).tobytes().decode()
     ids, known, lengths, hashes, low = take("<i8", n), take("?", n), take("<i8", n), take("<u8", words), take("<u2", tokens)
-    numbers = low.astype(np.int64) + ((take("u1", high).astype(np.int64) << 16) if high else 0)
+    numbers = low.astype(np.int32) + ((take("u1", high).astype(np.int32) << 16) if high else 0)
     return Block(place, [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths.tolist(), numbers, hashes)
 
 
@@ -208,17 +221,18 @@ def _told(group: pa.Table) -> tuple[Block, np.ndarray, np.ndarray] | None:
     empty = [np.zeros((2, 0), dtype=np.uint64)]
     sums = [np.concatenate(empty + [_opened(b, "<u8").reshape(2, -1) for k, _, b in rows if k == kind], axis=1).astype(np.float64)
             for kind in (WORD, PAIR)]
-    if sums[0].shape[1] != len(block.word_keys) or sums[1].shape[1] != len(block.pair_keys):
+    if sums[0].shape[1] != len(block.asked_words[0]) or sums[1].shape[1] != len(block.asked_pairs[0]):
         raise RuntimeError("a block's answers do not fit the block: its input changed while it was read")
     return block, sums[0], sums[1]
 
 
 def _shares(block: Block, words: np.ndarray, pairs: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: the context's bucket, the bigram's share of its context, the word's share of all."""
-    context = words[block.before_at]
+    _, word_at, before_at = block.asked_words
+    context = words[before_at]
     bucket = np.minimum(BUCKETS - 1, np.ceil(np.log2(context + 1))).astype(np.int64)
-    p2 = np.divide(pairs[block.pair_at], context, out=np.zeros(len(context)), where=context > 0)
-    return bucket, p2, words[block.word_at] / total if total else np.zeros(len(context))
+    p2 = np.divide(pairs[block.asked_pairs[1]], context, out=np.zeros(len(context)), where=context > 0)
+    return bucket, p2, words[word_at] / total if total else np.zeros(len(context))
 
 
 def _step(ratio: np.ndarray) -> np.ndarray:
@@ -265,7 +279,7 @@ def _score(key: tuple, group: pa.Table, weights: list, total: float, kinds: floa
     words, pairs = words.sum(axis=0), pairs.sum(axis=0)
     bucket, p2, p1 = _shares(block, words, pairs, total)
     a = np.array(weights)[bucket]
-    seen = words[block.word_at]
+    seen = words[block.asked_words[1]]
     model = np.log10(a[:, 0] * p2 + a[:, 1] * p1 + a[:, 2] / (kinds + 1))
     base = np.log10((seen + 0.5) / (total + 0.5 * (kinds + 1)))
     if not total:
