@@ -66,7 +66,7 @@ def rates(text: str) -> tuple[int, np.ndarray, dict[str, float]]:
     return len(words), kinds, {
         "marks": float(counts[9]) / n,
         "bars": words.count("|") / n,
-        "capitals": float(counts[1]) / max(1, int(counts[0] + counts[1])),
+        "capitals": float(counts[1]) / max(20, int(counts[0] + counts[1])),  # a short text's one capital is no shouting
         "repeats": again / n,
         "lines": 1 - len(set(lines)) / len(lines) if len(lines) > 2 else 0.0,
         "lengths": (len(text) - n) / n,
