@@ -39,9 +39,9 @@ from flowloom.session import checkpoint
 SHINGLE, COORDINATES, MATCHES = 5, 64, 40
 SIMILAR, OF = 85, 100
 #: Classes of one list that meet as many others in a task.
-BLOCK_ROWS = 256
+BLOCK_ROWS = 128
 #: Candidates of one hub in one task.
-HUB_ROWS = 256
+HUB_ROWS = 64
 #: A table of so many ids is sent to all tasks; a larger one is joined by a shuffle of the texts.
 BROADCAST_IDS = 1_000_000
 
