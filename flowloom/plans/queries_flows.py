@@ -13,8 +13,9 @@ from flowloom.operators.flows import FLOW
 from flowloom.plans import inputs
 from flowloom.plans.catalog import big, joined, query, r6, stages
 from flowloom.plans.oracles import BEHAVIOUR_COLUMNS, WINDOW_ID, block, digest, iso, sql
+from flowloom.plans.chain import Stages
 from flowloom.session import checkpoint
-from flowloom.sources.captures import packets_from_frames
+from flowloom.sources.captures import packets_from_frames, with_header_metadata
 
 c = F.col
 
@@ -744,6 +745,13 @@ def alert_evidence_rows(spark, sf):
         F.when(c("name").isin("inter_arrival_mean", "mean_connection_interval"), r6("number", digits=10)).otherwise(r6("number")).alias("number"), "flag")
 
 
+@query("capture_alerts")  # test_sources holds it against the chain over the same packets
+def capture_alerts(spark, sf):
+    """Frames to alerts: parsed frames through the whole chain."""
+    parsed = with_header_metadata(packets_from_frames(frames(spark, sf)))
+    return Stages(checkpoint(parsed)).kept_alerts.select("alert_id", "flow_id", "threat_class", "decision", "ts_us")
+
+
 # --- telemetry ------------------------------------------------------------------------------------
 @query("ingest_counters", sql("""select capture_id, count(*) as packets, count(*) filter (status = 'parsed') as parsed_packets, count(*) filter (status = 'skipped') as skipped_frames,
   count(*) filter (status = 'late') as out_of_order_packets, cast(sum(frame_length) as bigint) as bytes, count(*) filter (status = 'parsed') as flow_updates,
