@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import batch_of, fresh, map_batches, mix, text_of, words_of
-from flowloom.llm.components import components
+from flowloom.llm.components import components, joined
 from flowloom.session import checkpoint
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 40
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = checkpoint(components(links))
     more = cross_links(named, posted, lists, labels)
     if not more.isEmpty():
-        labels = checkpoint(components(links.unionByName(more)))
+        labels = checkpoint(joined(labels, more))
     copies = checkpoint(classes.where("copies > 1").select("digest", "rep"))
     found = sketch.select("doc_id", "n_shingles", "digest").join(copies, "digest", "left").select(
         "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))

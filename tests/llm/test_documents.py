@@ -122,6 +122,10 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(1, 51)}, **{100 + k: 100 for k in range(1, 30)}}
+    labels = spark.createDataFrame(list(got.items()), "node long, component long")
+    more = spark.createDataFrame([(120, 30), (50, 200)], "a long, b long")
+    after = {r.node: r.component for r in components.joined(labels, more).collect()}
+    assert after == {k: 0 for k in [*range(1, 51), *range(100, 130), 200]}
 
 
 # --- language model --------------------------------------------------------------------------------------------------
