@@ -25,8 +25,9 @@ from flowloom.llm.common import batch_of, map_batches, text_of
 from flowloom.session import checkpoint
 
 CAPACITY = 2048
-#: Distinct chunks of text whose ids a task remembers; past it the memory starts anew.
-CACHE_CHUNKS = 300_000
+#: Distinct chunks of text whose ids a task remembers (past it the memory starts anew), and that one call encodes.
+CACHE_CHUNKS = 400_000
+CHUNKS_PER_CALL = 64
 #: Pieces that share a length are ranked in so many independent sub-ranges at least.
 RANK_RANGES = 64
 #: Pieces in one such sub-range on average, over all lengths.
@@ -44,8 +45,8 @@ class ChunkIds:
     """Chunks between white space -> their ids as little-endian 32-bit bytes.
 
     The tokenizer puts letters into lower case, drops white space and merges nothing across it, so a text's ids are those of its
-    chunks in turn. Only ASCII white space cuts and only A-Z change here; the tokenizer itself sees to all else. A batch's new
-    chunks are encoded in one call; tokens fall to chunks by their offsets.
+    chunks in turn. Only ASCII white space cuts and only A-Z change here; the tokenizer itself sees to all else. New chunks
+    are encoded together; tokens fall to chunks by their offsets.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -63,16 +64,19 @@ class ChunkIds:
         if len(self.known) + len(chunks) > CACHE_CHUNKS:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
-        for at in range(0, len(new), 20_000):
-            part = [c.decode() for c in new[at : at + 20_000]]
+        # A few chunks to a call: a call has its costs, and the tokenizer's work on one text grows faster than the text.
+        ids, begins, sizes, base = [], [], [], 0
+        for at in range(0, len(new), CHUNKS_PER_CALL):
+            part = [c.decode() for c in new[at : at + CHUNKS_PER_CALL]]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4")
-            sizes = np.array([len(c) + 1 for c in part])
-            begins = np.array([o[0] for o in encoded.offsets], dtype=np.int64)
-            cuts = 4 * np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)]))
-            packed = ids.tobytes()
-            slices = map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
-            self.known.update(zip(new[at : at + 20_000], map(packed.__getitem__, slices), strict=True))
+            ids += encoded.ids
+            begins += [base + o[0] for o in encoded.offsets]
+            sizes += [len(c) + 1 for c in part]
+            base += sum(map(len, part)) + len(part)
+        cuts = 4 * np.searchsorted(np.array(begins, dtype=np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        packed = np.array(ids, dtype="<u4").tobytes()
+        slices = map(slice, cuts[:-1].tolist(), cuts[1:].tolist())
+        self.known.update(zip(new, map(packed.__getitem__, slices), strict=True))
 
     @staticmethod
     def chunks(text: str) -> list[bytes]:
