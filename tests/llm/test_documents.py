@@ -341,6 +341,16 @@ def test_edited_passages_and_odd_rows(spark):
     assert decontaminate.contamination(frame.limit(0), items(spark, " ".join(item))).count() == 0
 
 
+@pytest.mark.parametrize("copies", [5, 1000])
+def test_an_edited_passage_is_found_however_often_it_stands(spark, copies):
+    item = [f"q{k}" for k in range(40)]
+    edited = [f"x{k}" if k in (9, 19, 29) else w for k, w in enumerate(item)]
+    for passage, score in ((edited, (2 * 37 - 3) / 80), (item[10:32], 22 / 40)):
+        made = [" ".join([f"n{k}", *passage, "end"]) for k in range(copies)]
+        got = decontaminate.contamination(rows(spark, *made, "n0 q1 q2 q3 end"), items(spark, " ".join(item))).collect()
+        assert [round(r.score, 4) for r in got if r.contaminated] == [round(score, 4)] * copies
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
