@@ -37,7 +37,7 @@ GAPS = 2
 #: Words of test items that one pass over the documents looks for (about 150 bytes each in a task).
 SLICE_GRAMS = 400_000
 #: Items of fewer words are found only as exact runs of words.
-WHOLE_ITEM = 8
+WHOLE_ITEM = 5
 #: Items of fewer words are found with one edited word at most.
 SHORT_ITEM = 8
 #: Share of the item's own score from which a document counts as contaminated.

@@ -351,6 +351,35 @@ def test_an_edited_passage_is_found_however_often_it_stands(spark, copies):
         assert [round(r.score, 4) for r in got if r.contaminated] == [round(score, 4)] * copies
 
 
+def test_weakly_alike_passages_equal_the_alignment_of_whole_texts(spark):
+    rng = np.random.default_rng(12)
+    benchmark = [[f"w{k}" for k in rng.integers(0, 200, size=n)] for n in (5, 6, 7, 8, 9, 10, 12, 15, 19, 27, 40, 59)]
+    made = []
+    for words in benchmark:
+        n = len(words)
+        made.append([w for k, w in enumerate(words) if k % 4 != 3])
+        made.append([f"x{k}" if k % 4 == 3 else w for k, w in enumerate(words)])
+        made.append([x for k, w in enumerate(words) for x in ([w, f"x{k}"] if k < n - 1 else [w])])  # no two words stay together
+        for _ in range(60):
+            share = rng.uniform(0.1, 0.5)
+            edit = rng.choice(4, size=n, p=[1 - share, share / 2, share / 4, share / 4])
+            made.append([x for k, w in enumerate(words) for x in ([w], [f"x{k}"], [], [w, f"y{k}"])[edit[k]]])
+    texts = [" ".join([*(f"w{k}" for k in rng.integers(0, 200, size=rng.integers(0, 150))), *m, *(f"n{k}" for k in range(rng.integers(0, 90)))]) for m in made]
+    codes = {f"w{k}": k + 1 for k in range(200)}
+    coded = [np.array([codes.get(w, 0) for w in words]) for words in benchmark]
+    least = [1 - 3 / (2 * len(w)) if len(w) < 8 else 0.5 for w in benchmark]
+    want, weak = {}, 0
+    for d, text in enumerate(texts):
+        whole = np.array([codes.get(w, 0) for w in text.split()])
+        scores = [(round(-s, 9), k) for k, c in enumerate(coded) if (s := decontaminate.align(c, whole)) >= least[k] - 1e-9]
+        want[d] = (len(scores), *(min(scores) if scores else (0.0, None)))
+        weak += bool(scores) and min(scores)[0] >= -0.7
+    got = {r.doc_id: (r.n_items, round(-r.score, 9), r.item_id) for r in
+           decontaminate.contamination(rows(spark, *texts), items(spark, *(" ".join(w) for w in benchmark))).collect()}
+    assert got == want
+    assert weak > 150 and sum(not n for n, _, _ in want.values()) > 20
+
+
 # --- fingerprints ----------------------------------------------------------------------------------------------------
 
 
