@@ -1,17 +1,18 @@
 """Near-duplicates by an inverted join over MinHash coordinates.
 
 A document's set holds hashes of its five-word shingles (``SHINGLE``); ``COORDINATES`` minima of it under different hash functions are its
-signature. Two sets of similarity 0.85 agree in 54 of 64 coordinates on average, in fewer than ``MATCHES`` = 40 once in about a million pairs.
+signature. Two sets of similarity 0.85 agree in 54 of 64 coordinates on average, in fewer than 40 in about two of a million pairs; two of
+similarity 0.8 in 51, in fewer than 34 in less than one of a million. A ``Rule`` holds the similarity and these coordinates (``matches`` below).
 
 1. Documents with equal sets become one class; the smallest id stands for it.
-2. Every coordinate with its value is a posting key. Keys of one class only match nothing: a class with fewer than MATCHES keys that others
-   have, too, is out. Prefix: two classes that agree in MATCHES keys share one of the rarest (keys - MATCHES + 1) keys of each, so only these
+2. Every coordinate with its value is a posting key. Keys of one class only match nothing: a class with fewer than ``matches`` keys that others
+   have, too, is out. Prefix: two classes that agree in ``matches`` keys share one of the rarest (keys - matches + 1) keys of each, so only these
    are posted, and passages that very many documents share are hardly posted at all. An exact test comes before: a class of which more
-   than 15 of 100 shingles occur in no other class that is left has no partner. It clears groups that are alike but not alike enough.
+   than 100 - ``similar`` of 100 shingles occur in no other class that is left has no partner. It clears groups that are alike but not alike enough.
 3. Skip merging. Posting lists with the same smallest class, the hub, are merged. First every class of a list is a candidate of its hub
    only. Classes that end up in one component skip each other from then on: only lists that hold several components are looked at again, in
    blocks whose meetings go to tasks, and a task gives the few links that join components.
-4. A candidate agrees in MATCHES coordinates; it becomes a link if 100 * intersection >= 85 * union holds for the full sets, read anew from the
+4. A candidate agrees in ``matches`` coordinates; it becomes a link if 100 * intersection >= similar * union holds for the full sets, read anew from the
    texts. Sets meet in tasks; no table of candidate pairs is ever made but the hubs' own.
 
 So no link between different components is lost (but by MinHash itself), while rows grow with the classes of a group, not with its pairs.
@@ -25,6 +26,7 @@ id have no component and are kept; an empty table gives an empty result; further
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,18 @@ from flowloom.llm.common import batch_of, fresh, map_batches, mix, text_of, word
 from flowloom.llm.components import components, joined
 from flowloom.session import checkpoint
 
-SHINGLE, COORDINATES, MATCHES = 5, 64, 40
-SIMILAR, OF = 85, 100
+SHINGLE, COORDINATES, OF = 5, 64, 100
+
+
+class Rule(NamedTuple):
+    """Texts are near-duplicates from ``similar`` of OF on; pairs that agree in fewer than ``matches`` coordinates are not looked at."""
+
+    similar: int
+    matches: int
+
+
+#: The query's rule, and that of a stage which cleans a corpus.
+QUERY_RULE, STAGE_RULE = Rule(85, 40), Rule(80, 34)
 #: Classes of one list that meet as many others in a task.
 BLOCK_ROWS = 128
 #: Candidates of one hub in one task.
@@ -94,15 +106,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of({"doc_id": ids, "shingles": [shingle_set(t).tobytes() for t in texts]}, schema)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, rule: Rule) -> bool:
     """The exact rule on two sets, both sorted and distinct."""
-    if SIMILAR * max(len(a), len(b)) > OF * min(len(a), len(b)) or not len(a):
+    if rule.similar * max(len(a), len(b)) > OF * min(len(a), len(b)) or not len(a):
         return False
     common = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * common >= SIMILAR * (len(a) + len(b) - common)
+    return OF * common >= rule.similar * (len(a) + len(b) - common)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Rows (a, salt, b, shingles) in order, those of the hub itself (b null) first in each group."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     here, hubs = None, []
@@ -114,7 +126,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 here, hubs = (a, salt), []
             if b is None:
                 hubs.append(own)
-            elif any(similar(hub, own) for hub in hubs):
+            elif any(similar(hub, own, rule) for hub in hubs):
                 out["a"].append(a)
                 out["b"].append(b)
         yield batch_of(out, schema)
@@ -125,7 +137,7 @@ def only_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
 
-def confirmed(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def confirmed(rows: DataFrame, candidates: DataFrame, rule: Rule) -> DataFrame:
     """Links among the stored candidates (a, b), by full sets. ``a`` is the side with more candidates."""
     involved = checkpoint(candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct())
     sets = checkpoint(map_batches(only_ids(rows, involved), _sets, "doc_id long, shingles binary"))
@@ -135,15 +147,15 @@ def confirmed(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     hubs = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select(
         "a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     ordered = members.unionByName(hubs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return checkpoint(map_batches(ordered, _confirm, "a long, b long").distinct())
+    return checkpoint(map_batches(ordered, _confirm, "a long, b long", rule=rule).distinct())
 
 
-def _able(keys: DataFrame) -> DataFrame:
-    """From (rep, key): classes with MATCHES keys that others have, too: rep, those keys, and the rarest of them as prefix."""
+def _able(keys: DataFrame, matches: int) -> DataFrame:
+    """From (rep, key): classes with ``matches`` keys that others have, too: rep, those keys, and the rarest of them as prefix."""
     shared = checkpoint(keys.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     of_class = keys.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "key"))).alias("s"))
-    able = of_class.where(F.size("s") >= MATCHES)
-    return checkpoint(able.select("rep", F.col("s.key").alias("keys"), F.slice(F.col("s.key"), 1, F.size("s") - MATCHES + 1).alias("prefix")))
+    able = of_class.where(F.size("s") >= matches)
+    return checkpoint(able.select("rep", F.col("s.key").alias("keys"), F.slice(F.col("s.key"), 1, F.size("s") - matches + 1).alias("prefix")))
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,26 +167,26 @@ def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield batch_of({"rep": ids[at : at + 32], "shingles": part}, schema)
 
 
-def without_partner(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def without_partner(rows: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     """Stored ``reps`` (doc_id) that so many shingles of no other of them fill, that none can be similar enough: rep.
 
-    A partner holds 85 of 100 shingles at least. Ids with several texts are never named.
+    A partner holds ``similar`` of 100 shingles at least. Ids with several texts are never named.
     """
     sets = map_batches(only_ids(rows, reps), _all_shingles, "rep long, shingles array<long>")
     places = sets.select("rep", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
         F.count("*").alias("n"), F.min("rep").alias("rep"))
     own = places.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
     size = sets.groupBy("rep").agg(F.sum(F.size("shingles")).alias("size"), F.count("*").alias("texts"))
-    return own.join(size, "rep").where((F.col("texts") == 1) & (OF * (F.col("size") - F.col("own")) < SIMILAR * F.col("size"))).select("rep")
+    return own.join(size, "rep").where((F.col("texts") == 1) & (OF * (F.col("size") - F.col("own")) < rule.similar * F.col("size"))).select("rep")
 
 
-def postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def postings(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Classes that may have a partner: rep, keys (all that others have, too), prefix (its rarest ones, rarest first)."""
     keys = classes.select("rep", F.posexplode("signature").alias("k", "v")).select(
         "rep", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
-    able = _able(keys)
-    alone = checkpoint(without_partner(rows, checkpoint(able.select(F.col("rep").alias("doc_id")))))
-    return _able(able.join(alone, "rep", "left_anti").select("rep", F.explode("keys").alias("key")))
+    able = _able(keys, rule.matches)
+    alone = checkpoint(without_partner(rows, checkpoint(able.select(F.col("rep").alias("doc_id"))), rule))
+    return _able(able.join(alone, "rep", "left_anti").select("rep", F.explode("keys").alias("key")), rule.matches)
 
 
 def merged_lists(posted: DataFrame) -> DataFrame:
@@ -184,12 +196,12 @@ def merged_lists(posted: DataFrame) -> DataFrame:
     return checkpoint(lists.join(hubs, "key").select("hub", "rep").distinct())
 
 
-def hub_candidates(posted: DataFrame, lists: DataFrame) -> DataFrame:
+def hub_candidates(posted: DataFrame, lists: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): every class of a list with the list's smallest class, where enough keys agree."""
     pairs = lists.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     with_b = pairs.join(posted.select(F.col("rep").alias("b"), F.col("keys").alias("kb")), "b")
     with_a = with_b.join(posted.select(F.col("rep").alias("a"), F.col("keys").alias("ka")), "a")
-    return checkpoint(with_a.where(F.size(F.array_intersect("ka", "kb")) >= MATCHES).select("a", "b"))
+    return checkpoint(with_a.where(F.size(F.array_intersect("ka", "kb")) >= rule.matches).select("a", "b"))
 
 
 def block_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,7 +248,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return np.rint(out).astype(np.int64)
 
 
-def _merge(key: tuple, group: pa.Table) -> pa.Table:
+def _merge(key: tuple, group: pa.Table, rule: Rule) -> pa.Table:
     """Links between different components in one meeting of two blocks: as many as join what they link, no more."""
     i, j = key[1].as_py(), key[2].as_py()
     reps, comps, blocks = (group[c].to_numpy() for c in ("rep", "comp", "block"))
@@ -252,14 +264,14 @@ def _merge(key: tuple, group: pa.Table) -> pa.Table:
         agree = np.zeros((len(left), len(right)), dtype=np.int16)
         for k in range(COORDINATES):
             agree += grid[left, k][:, None] == grid[right, k][None, :]
-        able = (agree >= MATCHES) & (comps[left][:, None] != comps[right][None, :])
+        able = (agree >= rule.matches) & (comps[left][:, None] != comps[right][None, :])
         a, b = size[left][:, None], size[right][None, :]
-        able &= OF * np.minimum(a, b) >= SIMILAR * np.maximum(a, b)
+        able &= OF * np.minimum(a, b) >= rule.similar * np.maximum(a, b)
         if able.any():
             rows, columns = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
             able, left, right = able[np.ix_(rows, columns)], left[rows], right[columns]
             common = intersections([sets[x] for x in left], [sets[x] for x in right])
-            linked = able & (OF * common >= SIMILAR * (size[left][:, None] + size[right][None, :] - common))
+            linked = able & (OF * common >= rule.similar * (size[left][:, None] + size[right][None, :] - common))
             parent = {int(c): int(c) for c in comps}
 
             def root(x: int) -> int:
@@ -275,17 +287,18 @@ def _merge(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def cross_links(rows: DataFrame, posted: DataFrame, lists: DataFrame, labels: DataFrame) -> DataFrame:
+def cross_links(rows: DataFrame, posted: DataFrame, lists: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between classes of one list in different components. ``labels``: stored (node, component)."""
     dealt = checkpoint(block_pairs(lists, labels))
     involved = checkpoint(dealt.select(F.col("rep").alias("doc_id")).distinct())
     sets = map_batches(only_ids(rows, involved), _sets, "doc_id long, shingles binary").withColumnRenamed("doc_id", "rep")
     load = checkpoint(sets.join(posted.select("rep", "keys"), "rep"))
     full = dealt.join(load, "rep").select("hub", "i", "j", "block", "rep", "comp", "keys", "shingles")
-    return checkpoint(full.groupBy("hub", "i", "j").applyInArrow(_merge, "a long, b long").distinct())
+    merge = lambda key, group: _merge(key, group, rule)
+    return checkpoint(full.groupBy("hub", "i", "j").applyInArrow(merge, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, rule: Rule = QUERY_RULE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept (whether that is its own)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     sketch = checkpoint(map_batches(rows, _sketch, "doc_id long, n_shingles long, digest binary, signature array<int>"))
@@ -293,11 +306,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = checkpoint(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
                                                     F.first("signature").alias("signature")))
     named = rows.where("doc_id is not null")
-    posted = postings(named, classes)
+    posted = postings(named, classes, rule)
     lists = merged_lists(posted)
-    links = confirmed(named, hub_candidates(posted, lists))
+    links = confirmed(named, hub_candidates(posted, lists, rule), rule)
     labels = checkpoint(components(links))
-    more = cross_links(named, posted, lists, labels)
+    more = cross_links(named, posted, lists, labels, rule)
     if not more.isEmpty():
         labels = checkpoint(joined(labels, more))
     copies = checkpoint(classes.where("copies > 1").select("digest", "rep"))
@@ -308,10 +321,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return placed.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, rule: Rule = STAGE_RULE) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest id, with all columns; of rows that repeat an id, one."""
     id_, number = fresh(docs, "_id", "_number")
-    judged = checkpoint(near_duplicates(docs))
+    judged = checkpoint(near_duplicates(docs, rule))
     gone = checkpoint(judged.where("not kept").select(F.col("doc_id").alias(id_)).distinct())
     named = docs.withColumn(id_, F.col("doc_id").cast("long"))
     kept = named.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, id_, "left_anti")

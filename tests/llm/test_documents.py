@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from corpus_pipeline import dedup_stage
 from flowloom.llm import (
     components,
     decontaminate,
@@ -62,7 +63,7 @@ def test_every_query_of_the_ten_is_registered():
 # --- near-duplicates -------------------------------------------------------------------------------------------------
 
 
-def linked(texts: dict) -> dict:
+def linked(texts: dict, similar: int = 85) -> dict:
     """Component of every document by comparing all pairs that share a shingle."""
     sets, places = {}, defaultdict(list)
     for i, t in texts.items():
@@ -80,7 +81,7 @@ def linked(texts: dict) -> dict:
     for i, own in sets.items():
         common = Counter(j for s in own for j in places[s] if j < i)
         for j, k in common.items():
-            if 100 * k >= 85 * (len(own) + len(sets[j]) - k):
+            if 100 * k >= similar * (len(own) + len(sets[j]) - k):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(sets[i]), root(i)) for i in texts}
@@ -107,6 +108,19 @@ def test_chains_are_linked_past_the_hub(spark, monkeypatch):
     assert len({got[i] for i in range(40)}) < 40
 
 
+def test_the_stage_links_from_four_fifths_on(spark, docs, texts):
+    rng = np.random.default_rng(8)
+    made = {}
+    for k in range(60):  # pairs that differ in their last words only: similarity 0.7 to 0.95
+        n, changed = 200, 6 + k % 30
+        words = [f"t{k}v{x}" for x in rng.permutation(n)]
+        made |= {10_000_000 + 2 * k: " ".join(words), 10_000_001 + 2 * k: " ".join(words[:-changed] + [f"y{x}" for x in range(changed)])}
+    want = {i: c for i, (_, c) in linked(texts | made, 80).items()}
+    assert sum(c != i for i, c in want.items()) > sum(c != i for i, (_, c) in linked(texts | made).items()) + 8
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in dedup_stage(spark, frame, "").select("doc_id").collect()} == {i for i, c in want.items() if c == i}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     frame = odd(spark)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame).collect()), key=repr)
