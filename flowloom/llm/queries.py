@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chats, decontaminate, fingerprint, neardup, ngrams, packing, quality, secrets, toxicity, warc
+from flowloom.llm import chats, decontaminate, fingerprint, neardup, ngrams, packing, quality, secrets, shortpack, toxicity, warc
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.page_records(warc.read_warc(spark, path))
+
+
+@query("op13_shortest_pack")
+def op13_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shortpack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
