@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chats, decontaminate, fingerprint, neardup, ngrams, packing, quality, secrets, shortpack, toxicity, warc
+from flowloom.llm import chats, decontaminate, divergence, fingerprint, neardup, ngrams, packing, quality, secrets, shortpack, toxicity, warc
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,49 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, path))
 
 
+DIVERGENCE_SQL = r"""
+with d as (
+  select row_number() over () as n, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as found
+  from documents
+), t as (
+  select n, lang, source, translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d
+), k as (
+  select lang, term, count(*) as c from t group by lang, term having count(distinct n) >= 30
+), g as (
+  select distinct lang, source from d
+), v as (
+  select lang, count(*) as v, sum(c) as n from k group by lang
+), own as (
+  select lang, source, term, count(*) as c from t join k using (lang, term) group by lang, source, term
+), total as (
+  select lang, source, sum(c) as n from own group by lang, source
+), p as (
+  select lang, source, term, coalesce(own.c, 0) as c,
+         1 + (1000000000::hugeint * (coalesce(own.c, 0) + 5)) // (coalesce(total.n, 0)::hugeint + 5 * v) as p,
+         1 + (1000000000::hugeint * (k.c + 5)) // (v.n::hugeint + 5 * v) as q
+  from g join k using (lang) join v using (lang) left join own using (lang, source, term) left join total using (lang, source)
+), pair as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+  union all
+  select lang, source, 'term', term, p - q from p where c > 0 and p > q
+)
+select lang, source, part, item, cast(value as bigint) as value,
+       cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from every qualify part = 'pair' or rank <= 50
+"""
+
+
+@query("op12_divergence", DIVERGENCE_SQL)
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 @query("op13_shortest_pack")
 def op13_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shortpack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))

@@ -56,7 +56,7 @@ def odd(spark):
 
 def test_every_query_of_the_ten_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES)
-    assert numbers == [*range(1, 11), 13]
+    assert numbers == [*range(1, 11), 12, 13]
     assert set(ORACLES) <= set(QUERIES)
 
 
