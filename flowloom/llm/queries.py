@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chats, decontaminate, divergence, fingerprint, neardup, ngrams, packing, quality, secrets, shortpack, toxicity, warc
+from flowloom.llm import chats, decontaminate, divergence, fingerprint, neardup, ngrams, packing, quality, secrets, shortpack, toxicity, turns, warc
 from flowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,79 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, path))
 
 
+TURNS_SQL = r"""
+with recursive k as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+  from conversations
+), f as (
+  select *, xor(4294967295, list_reduce(
+      list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda ch: ascii(ch)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                               lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) % 20 as fate
+  from k
+), d as (
+  select conv_id, turn, case when fate = 4 then 'user' else role end as role,
+         case fate when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case when fate = 3 then 2 else 1 end)) as copy
+  from f where fate <> 0
+), n as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, substr(role, 1, 1) as r from d
+), m as (
+  select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+         not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as cut, lag(r) over (partition by conv_id order by i) as before
+  from n
+), rows as (
+  select conv_id, i, r, role, text, blank or again as must, case when blank or again or not cut then 0 else 1 end as pay from m
+), b as (
+  select conv_id, max(i) + 1 as i, {'cost': 0, 'audit': '', 'said': ''} as s0,
+         {'cost': 4, 'audit': 'II', 'said': chr(10) || 'user:' || chr(10) || 'assistant:'} as s1,
+         {'cost': 2, 'audit': 'I', 'said': chr(10) || 'assistant:'} as s2, {'cost': 0, 'audit': '', 'said': ''} as s3
+  from rows group by conv_id
+  union all
+  select conv_id, i, least(n0, {'cost': 2 + u.cost, 'audit': 'I' || u.audit, 'said': chr(10) || 'user:' || u.said}),
+         least(n1, {'cost': 2 + u.cost, 'audit': 'I' || u.audit, 'said': chr(10) || 'user:' || u.said}), u,
+         least(n3, {'cost': 2 + n2.cost, 'audit': 'I' || n2.audit, 'said': chr(10) || 'user:' || n2.said})
+  from (
+    select *, least(n2, {'cost': 2 + n3.cost, 'audit': 'I' || n3.audit, 'said': chr(10) || 'assistant:' || n3.said}) as u
+    from (
+      select conv_id, i,
+        least({'cost': 3 + s0.cost, 'audit': 'D' || s0.audit, 'said': s0.said},
+              case when not must then {'cost': 2 + pay + s2.cost, 'audit': 'R' || s2.audit, 'said': chr(10) || 'user:' || text || s2.said} end,
+              case when not must and r = 'u' then {'cost': pay + s2.cost, 'audit': 'K' || s2.audit, 'said': chr(10) || role || ':' || text || s2.said} end,
+              case when not must and r = 's' then {'cost': pay + s1.cost, 'audit': 'K' || s1.audit, 'said': chr(10) || role || ':' || text || s1.said} end) as n0,
+        least({'cost': 3 + s1.cost, 'audit': 'D' || s1.audit, 'said': s1.said},
+              case when not must then {'cost': 2 + pay + s2.cost, 'audit': 'R' || s2.audit, 'said': chr(10) || 'user:' || text || s2.said} end,
+              case when not must and r = 'u' then {'cost': pay + s2.cost, 'audit': 'K' || s2.audit, 'said': chr(10) || role || ':' || text || s2.said} end) as n1,
+        least({'cost': 3 + s2.cost, 'audit': 'D' || s2.audit, 'said': s2.said},
+              case when not must then {'cost': 2 + pay + s3.cost, 'audit': 'R' || s3.audit, 'said': chr(10) || 'assistant:' || text || s3.said} end,
+              case when not must and r = 'a' then {'cost': pay + s3.cost, 'audit': 'K' || s3.audit, 'said': chr(10) || role || ':' || text || s3.said} end) as n2,
+        least({'cost': 3 + s3.cost, 'audit': 'D' || s3.audit, 'said': s3.said},
+              case when not must then {'cost': 2 + pay + s2.cost, 'audit': 'R' || s2.audit, 'said': chr(10) || 'user:' || text || s2.said} end,
+              case when not must and r = 'u' then {'cost': pay + s2.cost, 'audit': 'K' || s2.audit, 'said': chr(10) || role || ':' || text || s2.said} end) as n3
+      from (select rows.*, s0, s1, s2, s3 from b join rows on rows.conv_id is not distinct from b.conv_id and rows.i = b.i - 1)
+    )
+  )
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+         count(*) filter (again and not blank) as duplicate, count(*) filter (cut and not blank and not again) as truncated,
+         count(*) filter (before || r not in ('su', 'ua', 'au')) as illegal
+  from m group by conv_id
+)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank,
+       cast(coalesce(duplicate, 0) as bigint) as duplicate, cast(coalesce(truncated, 0) as bigint) as truncated,
+       cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(s0.cost, 0) as bigint) as cost, coalesce(s0.audit, '') as audit,
+       sha256(coalesce(substr(s0.said, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join counts on counts.conv_id is not distinct from o.conv_id
+left join b on b.conv_id is not distinct from o.conv_id and b.i = 1
+"""
+
+
+@query("op11_conversation_repair", TURNS_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repairs(table(spark, sf_dir, "conversations"))
+
+
 DIVERGENCE_SQL = r"""
 with d as (
   select row_number() over () as n, coalesce(lang, '') as lang, coalesce(source, '') as source,
