@@ -273,13 +273,12 @@ def snapshot_ticks(packets: DataFrame, every_us: int = SNAPSHOT_US) -> DataFrame
     )
 
 
-def with_tick(flow_packets: DataFrame, ticks: DataFrame, chunk_frames: int = FRAMES_PER_CHUNK) -> DataFrame:
+def with_tick(flow_packets: DataFrame, ticks: DataFrame) -> DataFrame:
     """Add the first tick at or after each packet (null after the last one)."""
     points = flow_packets.withColumn("_at", F.col("frame_no"))
     marks = ticks.select("capture_id", F.col("tick_frame").alias("_at"), "tick_us")
     hit = first_at_or_after(
         points, marks, ["capture_id"], "_at", F.struct(F.col("_at"), F.col("tick_us")), "_tick",
-        chunk_size=chunk_frames,
     )
     return hit.select(
         *flow_packets.columns, F.col("_tick._at").alias("tick_frame"), F.col("_tick.tick_us").alias("tick_us")
@@ -371,7 +370,9 @@ def flow_snapshots(
     come before the tick, so a tick at the closing frame no longer sees the flow.
     """
     c = F.col
-    states = state_measures(running_flow_state(with_tick(flow_packets, ticks), "tick_frame"))
+    used = ("flow_key", "frame_no", "ts_us", "src_ip", "a_ip", "a_port", "b_ip", "b_port", "protocol", "is_new", "direction", "packet_length",
+            "payload_length", "gap_us", "tcp_flags", "dns", "tls", "quic")
+    states = state_measures(running_flow_state(with_tick(flow_packets.select(*FLOW, *[n for n in used if n not in FLOW]), ticks), "tick_frame"))
     joined = states.join(
         closes.select(*FLOW, "reason", "close_us", "close_frame"), FLOW
     )

@@ -5,27 +5,28 @@ Nothing is joined pairwise. Every packet changes a window twice: when it arrives
 packets (distinct counts, entropies, flow spans, bins) are first kept per sub-key (host and peer, host
 and port, ...); the *changes* of the sub-key's value then add up per host.
 
-Time is cut into slices as long as the window. A slice starts from the packets of the slice before it,
-so each (key, slice) is computed on its own: a busy host spreads over all slices of the capture and
-no state is carried between tasks.
+Both sums are ``ordered_scan``s: rows are dealt by ranges of (key, time), so a host, a pair or a capture that holds most packets is
+spread over as many tasks as its rows need. All kinds of sub-keys are one scan, and all hosts with the whole capture (a key without a host)
+are one more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.fixed import MAX_WINDOW_EVENTS, SECOND_US
 from flowloom.functions.ids import floor_div
-from flowloom.functions.values import exact_variance, n_log_n
-from flowloom.session import checkpoint
+from flowloom.functions.values import exact_variance
+from flowloom.operators.scan import first_at_or_after, ordered_scan
 
-SLICE = "_slice"
-STEP = [SLICE, "at_us", "seq"]
+STEP = ["at_us", "seq"]
 BEFORE = "_before_"
-TOTAL_SLICE_US = 10_000_000
+#: n * log2(n) is summed as whole numbers and a rest in units of this fraction, so that what arrives and what leaves cancels exactly.
+LOG_UNITS = float(1 << 36)
 
 
 def traffic_events(flow_packets: DataFrame) -> DataFrame:
@@ -46,21 +47,58 @@ def with_widths(df: DataFrame, widths_s: Sequence[int]) -> DataFrame:
     return df.withColumn("width_us", F.explode(lits))
 
 
-def _sliced(events: DataFrame) -> DataFrame:
-    """Each event in its own slice and, as a predecessor, in the next one."""
-    own = floor_div(F.col("ts_us"), F.col("width_us"))
-    return events.withColumn(SLICE, F.explode(F.array(own, own + 1))).withColumn(
-        "_own", floor_div(F.col("ts_us"), F.col("width_us")) == F.col(SLICE)
-    )
+def _steps(events: DataFrame, keys: Sequence[str], measures: dict[str, Column], *extra: str) -> DataFrame:
+    """Each event as two rows: its measures when it arrives, and their opposite when it leaves the window."""
+    c = F.col
+    names = list(measures)
+    base = events.select(*keys, "width_us", "ts_us", "frame_no", *extra, *[m.cast("long").alias(n) for n, m in measures.items()])
+
+    def change(at: Column, seq: Column, sign: int) -> Column:
+        arrived = c("ts_us") if sign > 0 else F.lit(None).cast("long")
+        return F.struct(at.alias("at_us"), seq.cast("long").alias("seq"), *[(c(n) * sign).alias(n) for n in names], arrived.alias("arrived_us"))
+
+    both = F.array(change(c("ts_us"), c("frame_no"), 1), change(c("ts_us") + c("width_us") + 1, F.lit(-1), -1))
+    return base.select(*keys, *extra, F.explode(both).alias("_s")).select(*keys, *extra, "_s.*")
+
+
+def _gap_steps(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Gaps between neighbouring events of a key, as steps: a gap counts while both of its ends are inside the window."""
+    c = F.col
+    lagged = ordered_scan(events.select(*keys, *[n for n in ("width_us", "ts_us", "frame_no") if n not in keys]), keys, ["ts_us", "frame_no"],
+                          {"before_us": ("last", "ts_us", False)})
+    gap = c("ts_us") - c("before_us")
+    inside = lagged.where(gap <= c("width_us")).withColumn("gap", gap)
 
+    def change(at: Column, seq: Column, sign: int) -> Column:
+        return F.struct(at.alias("at_us"), seq.cast("long").alias("seq"), (c("gap") * sign).alias("gap"), (c("gap") * c("gap") * sign).alias("gap2"))
 
-def _points_for(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return points.select(
-        *keys,
-        floor_div(F.col("ts_us"), F.col("width_us")).alias(SLICE),
-        F.col("ts_us").alias("at_us"),
-        F.col("trigger_frame").alias("seq"),
-    ).distinct()
+    both = F.array(change(c("ts_us"), c("frame_no"), 1), change(c("before_us") + c("width_us") + 1, F.lit(-1), -1))
+    return inside.select(*keys, F.explode(both).alias("_s")).select(*keys, "_s.*")
+
+
+def _together(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _asked(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Points as rows of a scan: they come after the packet that triggers them."""
+    return points.select(*keys, F.col("ts_us").alias("at_us"), F.col("trigger_frame").alias("seq"), F.lit(True).alias("is_point"))
+
+
+def _sums(steps: DataFrame, keys: Sequence[str], names: Sequence[str], points: DataFrame | None, last: bool = False, only_points: bool = False) -> DataFrame:
+    """Running sums of the steps after each of them, and at the points. ``step_no`` counts the steps of a key in the order of the scan."""
+    rows = steps if points is None else _together([steps, _asked(points, keys)])
+    rows = rows if "is_point" in rows.columns else rows.withColumn("is_point", F.lit(False))
+    rows = rows.withColumn("is_point", F.coalesce("is_point", F.lit(False))).withColumn("_turn", F.col("is_point").cast("int"))
+    own = {f"_own_{n}": F.coalesce(F.col(n), F.lit(0).cast("long")) for n in names} | ({} if only_points else {"_one": F.lit(1).cast("long")})
+    rows = rows.select(*keys, *STEP, "_turn", "is_point", *[v.alias(n) for n, v in own.items()], *(["arrived_us"] if last else []),
+                       *([F.col("is_point").alias("_keep")] if only_points else []))
+    folds = {n: ("sum", f"_own_{n}", True) for n in names} | ({} if only_points else {"step_no": ("sum", "_one", True)})
+    if last:
+        folds |= {"last_us": ("last", "arrived_us", True), f"{BEFORE}last_us": ("last", "arrived_us", False)}
+    found = ordered_scan(rows, keys, [*STEP, "_turn"], folds, keep="_keep" if only_points else None)
+    before = [] if only_points else [(F.col(n) - F.col(f"_own_{n}")).alias(BEFORE + n) for n in names]
+    return found.select(*keys, *STEP, "is_point", *folds, *before)
 
 
 def sub_key_totals(
@@ -78,312 +116,188 @@ def sub_key_totals(
     time is kept as ``last_us``.
     """
     keys = list(keys)
-    c = F.col
-    zero = F.lit(0).cast("long")
-    base = _sliced(events).select(
-        *keys, SLICE, "_own", "width_us", "ts_us", "frame_no",
-        *[m.cast("long").alias(n) for n, m in measures.items()],
-        *([gap_of.alias("_sel")] if gap_of is not None else []),
-    )
-    names = list(measures)
-    start = c(SLICE) * c("width_us")
-    end = start + c("width_us")
-    arrive_at = F.when(c("_own"), c("ts_us")).otherwise(start - 1)
-    arrive_seq = F.when(c("_own"), c("frame_no")).otherwise(F.lit(-1))
-    leave_at = c("ts_us") + c("width_us") + 1
-    gap_names = []
-    if gap_of is not None:
-        order = Window.partitionBy(*keys, SLICE).orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.last(F.when(c("_sel"), c("ts_us")), ignorenulls=True).over(order)
-        base = base.withColumn("_before", F.when(c("_sel"), before)).withColumn(
-            "_gap", F.when(c("ts_us") - c("_before") <= c("width_us"), c("ts_us") - c("_before"))
-        )
-        gap_names = ["gap", "gap2"]
-    gap = c("_gap") if gap_names else None
-
-    def change(at: Column, seq: Column, sign: int | None, gap_sign: int | None) -> Column:
-        fields = [at.alias("at_us"), seq.cast("long").alias("seq")]
-        fields += [(c(n) * sign if sign else zero).alias(n) for n in names]
-        if gap_names:
-            one = F.coalesce(gap, zero)
-            fields += [(v * gap_sign if gap_sign else zero).alias(n) for n, v in (("gap", one), ("gap2", one * one))]
-            arrived = F.when(c("_sel"), c("ts_us")) if sign == 1 else F.lit(None).cast("long")
-            fields.append(arrived.alias("last_us"))
-        return F.struct(*fields)
-
-    changes = [
-        change(arrive_at, arrive_seq, 1, 1),
-        F.when(~c("_own") & (leave_at < end), change(leave_at, F.lit(-1), -1, None)),
-    ]
-    if gap_names:
-        gap_leaves = c("_before") + c("width_us") + 1
-        changes.append(F.when(gap.isNotNull() & (gap_leaves < end), change(gap_leaves, F.lit(-1), None, -1)))
-    steps = base.select(*keys, SLICE, F.explode(F.array(*changes)).alias("_s")).where(
-        F.col("_s").isNotNull()
-    ).select(*keys, SLICE, "_s.*")
-    return _running(steps, keys, names + gap_names, points, ["last_us"] if gap_names else [])
-
-
-def _running(
-    steps: DataFrame, keys: list[str], sums: list[str], points: DataFrame | None, maxima: Sequence[str] = (),
-    changes: bool = True,
-) -> DataFrame:
-    steps = steps.withColumn("is_point", F.lit(False))
-    if points is not None:
-        asked = _points_for(points, keys).select(
-            *keys, *STEP,
-            *[F.lit(0).cast(steps.schema[n].dataType).alias(n) for n in sums],
-            *[F.lit(None).cast("long").alias(n) for n in maxima],
-            F.lit(True).alias("is_point"),
-        )
-        steps = steps.unionByName(asked)
-    folds = [(F.sum, n) for n in sums] + [(F.max, n) for n in maxima]
-    merged = steps.groupBy(*keys, *STEP).agg(
-        *[fold(n).alias(n) for fold, n in folds], F.max("is_point").alias("is_point")
-    )
-    order = Window.partitionBy(*keys, SLICE).orderBy("at_us", "seq")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    # What the totals were before the step: from the same pass, for the changes of derived values.
-    return merged.select(
-        *keys, *STEP, "is_point",
-        *[fold(n).over(upto).alias(n) for fold, n in folds],
-        *[(F.sum(n).over(upto) - F.col(n)).alias(BEFORE + n) for n in sums if changes],
-        *[F.max(n).over(before).alias(BEFORE + n) for n in maxima if changes],
-    )
+    if gap_of is None:
+        return _sums(_steps(events, keys, measures), keys, list(measures), points)
+    steps = _steps(events.withColumn("_selected", gap_of), keys, measures, "_selected")
+    steps = steps.withColumn("arrived_us", F.when(F.col("_selected"), F.col("arrived_us"))).drop("_selected")
+    steps = _together([steps, _gap_steps(events.where(gap_of), keys)])
+    return _sums(steps, keys, [*measures, "gap", "gap2"], points, last=True)
 
 
 Totals = Callable[[str], Column]
 
+PAIR = ["capture_id", "width_us", "src_ip", "dst_ip"]
+HOST = ["capture_id", "width_us", "host"]
+SUB = ["capture_id", "width_us", "family", "first", "second"]
 
-def value_changes(
-    totals: DataFrame, keys: Sequence[str], host: Column, derived: dict[str, Callable[[Totals], Column]]
-) -> DataFrame:
-    """Changes of derived sub-key values, as steps of the host's own running sums.
 
-    Each derived value is a function of the totals: it is taken after and before every step.
-    """
-    def now(name: str) -> Column:
-        return F.col(name)
-
-    def then(name: str) -> Column:
-        return F.col(BEFORE + name)
-
-    diffs = [(value(now) - value(then)).alias(n) for n, value in derived.items()]
-    changed = F.lit(False)
-    for n in derived:
-        changed = changed | (F.col(n) != 0)
-    return totals.select(
-        "capture_id", "width_us", host.alias("host"), *STEP, *diffs
-    ).where(changed)
-
-
-def _ledger(parts: Sequence[DataFrame], points: DataFrame | None) -> DataFrame:
-    """Add up all changes per host; absent measures of a part count as no change."""
-    names: dict[str, str] = {}
-    fixed = {"capture_id", "width_us", "host", *STEP}
-    for part in parts:
-        for field in part.schema:
-            if field.name not in fixed:
-                names[field.name] = field.dataType.simpleString()
-    aligned = [
-        part.select(
-            "capture_id", "width_us", "host", *STEP,
-            *[
-                F.col(n).cast(t) if n in part.columns else F.lit(0).cast(t).alias(n)
-                for n, t in names.items()
-            ],
-        )
-        for part in parts
-    ]
-    steps = aligned[0]
-    for part in aligned[1:]:
-        steps = steps.unionByName(part)
-    return _running(steps, ["capture_id", "width_us", "host"], list(names), points, changes=False)
+def pair_totals(events: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """(source, destination): packets, new flows, and the gaps between new flows."""
+    return sub_key_totals(
+        events, PAIR, {"n": F.lit(1), "new": F.col("is_new").cast("long")}, gap_of=F.col("is_new"), points=points
+    )
 
 
-def _flag(value: Column) -> Column:
-    return (value > 0).cast("long")
+def _n_log_n(name: str, of: str) -> dict[str, Callable[[Totals], Column]]:
+    """n * log2(n) of a total as a sum of two whole numbers."""
+    def value(n: Column) -> Column:
+        return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
+    return {
+        name: lambda t: F.floor(value(t(of))).cast("long"),
+        f"{name}_rest": lambda t: F.round((value(t(of)) - F.floor(value(t(of)))) * LOG_UNITS).cast("long"),
+    }
 
-def itself(name: str) -> Callable[[Totals], Column]:
-    return lambda totals: totals(name)
 
+def _flag(value: Column) -> Column:
+    return (value > 0).cast("long")
 
-PAIR = ["capture_id", "width_us", "src_ip", "dst_ip"]
 
+def _short(t: Totals) -> Column:
+    return ((t("n") > 0) & (t("gap") <= 2 * SECOND_US)).cast("long")
 
-def pair_totals(events: DataFrame, points: DataFrame | None = None) -> DataFrame:
-    """(source, destination): packets, new flows, and the gaps between new flows."""
-    return sub_key_totals(
-        events, PAIR, {"n": F.lit(1), "new": F.col("is_new").cast("long")}, gap_of=F.col("is_new"), points=points
-    )
 
+#: Kinds of sub-keys: the host and the rest of the key, and what their totals add to which host's measures.
+FAMILIES: dict[str, tuple[str, str, list[tuple[str, dict[str, Callable[[Totals], Column]]]]]] = {
+    "pair": ("src_ip", "dst_ip", [
+        ("first", {"unique_destinations": lambda t: _flag(t("n"))} | _n_log_n("destination_nlogn", "new")),
+        ("second", {"unique_sources": lambda t: _flag(t("n"))} | _n_log_n("source_nlogn", "n"))]),
+    "port": ("src_ip", "dst_port", [("first", {"unique_destination_ports": lambda t: _flag(t("n"))})]),
+    "flow": ("src_ip", "flow_start", [("first", {"window_flows": lambda t: _flag(t("n")), "short_flows": _short})]),
+    "name": ("src_ip", "domain", [("first", {"unique_domains": lambda t: _flag(t("n"))})]),
+    "bin": ("dst_ip", "second_no", [("first", {"bins": lambda t: _flag(t("n")), "bin_squares": lambda t: t("n") * t("n")})]),
+}
+SOURCE_SUMS = ("packet_count", "byte_count", "flow_count", "domain_count")
+TARGET_SUMS = ("target_packet_count", "udp_packets", "inbound_bytes")
+SOURCE_MEASURES = (*SOURCE_SUMS, "first_us", "unique_destinations", "destination_nlogn", "unique_destination_ports", "window_flows", "short_flows",
+                   "unique_domains")
+TARGET_MEASURES = ("target_packet_count", "udp_packets", "unique_sources", "source_nlogn", "bins", "bin_squares")
 
-def source_parts(events: DataFrame, pairs: DataFrame, only: set[str] | None = None) -> list[DataFrame]:
-    """Changes of everything measured about a host as a source of traffic."""
+
+def _family_events(events: DataFrame, family: str) -> DataFrame:
     c = F.col
-    parts = {}
-    host_key = ["capture_id", "width_us", "src_ip"]
-
-    def wanted(*names: str) -> bool:
-        return only is None or bool(only & set(names))
-
-    if wanted("packet_count", "byte_count", "flow_count", "domain_count", "first_us"):
-        volume = sub_key_totals(
-            events,
-            host_key,
-            {
-                "packet_count": F.lit(1),
-                "byte_count": c("packet_length"),
-                "flow_count": c("is_new").cast("long"),
-                "domain_count": F.size("domains"),
-            },
-            gap_of=F.lit(True),
-        )
-        parts["volume"] = value_changes(
-            volume, host_key, c("src_ip"),
-            {n: itself(n) for n in ("packet_count", "byte_count", "flow_count", "domain_count")}
-            # The oldest packet in the window: the newest one minus all gaps.
-            | {"first_us": lambda t: F.when(t("packet_count") > 0, t("last_us") - t("gap")).otherwise(0)},
-        )
-    if wanted("unique_destinations", "destination_nlogn"):
-        parts["peers"] = value_changes(
-            pairs, PAIR, c("src_ip"),
-            {"unique_destinations": lambda t: _flag(t("n")), "destination_nlogn": lambda t: n_log_n(t("new"))},
-        )
-    if wanted("unique_destination_ports"):
-        keys = [*host_key, "dst_port"]
-        ports = sub_key_totals(events.where("dst_port IS NOT NULL"), keys, {"n": F.lit(1)})
-        parts["ports"] = value_changes(ports, keys, c("src_ip"), {"unique_destination_ports": lambda t: _flag(t("n"))})
-    if wanted("window_flows", "short_flows"):
-        keys = [*host_key, "flow_start"]
-        spans = sub_key_totals(events, keys, {"n": F.lit(1)}, gap_of=F.lit(True))
-        short = lambda t: (t("n") > 0) & (t("gap") <= 2 * SECOND_US)
-        parts["spans"] = value_changes(
-            spans, keys, c("src_ip"),
-            {
-                "window_flows": lambda t: _flag(t("n")),
-                "short_flows": lambda t: short(t).cast("long"),
-            },
-        )
-    if wanted("unique_domains"):
-        keys = [*host_key, "domain"]
-        names = sub_key_totals(events.withColumn("domain", F.explode("domains")), keys, {"n": F.lit(1)})
-        parts["names"] = value_changes(names, keys, c("src_ip"), {"unique_domains": lambda t: _flag(t("n"))})
-    return list(parts.values())
-
-
-def target_parts(events: DataFrame, pairs: DataFrame, only: set[str] | None = None) -> list[DataFrame]:
-    """Changes of everything measured about a host as a destination of traffic."""
+    host, rest, _ = FAMILIES[family]
+    if family == "name":
+        events = events.withColumn("domain", F.explode("domains"))
+    elif family == "bin":
+        events = events.withColumn("second_no", floor_div(c("ts_us"), SECOND_US))
+    elif family == "port":
+        events = events.where("dst_port IS NOT NULL")
+    return events.select("capture_id", "width_us", F.lit(family).alias("family"), c(host).alias("first"), c(rest).cast("string").alias("second"),
+                         "ts_us", "frame_no", "is_new")
+
+
+def _sub_totals(events: DataFrame, families: Sequence[str], pair_points: DataFrame | None = None) -> DataFrame:
+    """Totals of all sub-keys of these families, in one scan; at ``pair_points`` those of the pairs."""
+    own = {f: _family_events(events, f) for f in families}
+    steps = [_steps(_together(list(own.values())), SUB, {"n": F.lit(1), "new": F.col("is_new").cast("long")})]
+    names = ["n", "new"]
+    spans = [own["flow"]] if "flow" in own else []
+    if pair_points is not None:
+        spans.append(own["pair"].where("is_new"))
+    if spans:
+        steps.append(_gap_steps(_together(spans), SUB))
+        names += ["gap", "gap2"]
+    asked = None
+    if pair_points is not None:
+        asked = pair_points.select("capture_id", "width_us", F.lit("pair").alias("family"), F.col("src_ip").alias("first"), F.col("dst_ip").alias("second"),
+                                   "ts_us", "trigger_frame")
+    return _sums(_together(steps), SUB, names, asked)
+
+
+def _derived_steps(totals: DataFrame, families: Sequence[str], wanted: set[str] | None) -> tuple[DataFrame, list[str]]:
+    """Changes of what sub-keys add to their hosts: each derived value after a step less its value before."""
+    parts, names = [], []
+    for family in families:
+        for side, values in FAMILIES[family][2]:
+            own = [n for n in values if wanted is None or n in wanted]
+            if not own:
+                continue
+            names += own
+            changes = [(values[n](F.col) - values[n](lambda m: F.col(BEFORE + m))).alias(n) for n in own]
+            steps = totals.where((F.col("family") == family) & ~F.col("is_point")).select(
+                "capture_id", "width_us", F.col(side).alias("host"), *STEP, *changes)
+            parts.append(steps.where(reduce(lambda a, b: a | b, [F.col(n) != 0 for n in own])))
+    return _together(parts), names
+
+
+def _additive_steps(events: DataFrame, host: str, names: Sequence[str]) -> DataFrame:
     c = F.col
-    parts = {}
-    host_key = ["capture_id", "width_us", "dst_ip"]
-
-    def wanted(*names: str) -> bool:
-        return only is None or bool(only & set(names))
-
-    if wanted("target_packet_count", "udp_packets", "inbound_bytes"):
-        volume = sub_key_totals(
-            events,
-            host_key,
-            {
-                "target_packet_count": F.lit(1),
-                "udp_packets": (c("protocol") == "UDP").cast("long"),
-                "inbound_bytes": c("packet_length"),
-            },
-        )
-        parts["volume"] = value_changes(
-            volume, host_key, c("dst_ip"),
-            {n: itself(n) for n in ("target_packet_count", "udp_packets", "inbound_bytes")},
-        )
-    if wanted("unique_sources", "source_nlogn"):
-        parts["peers"] = value_changes(
-            pairs, PAIR, c("dst_ip"), {"unique_sources": lambda t: _flag(t("n")), "source_nlogn": lambda t: n_log_n(t("n"))}
-        )
-    if wanted("bins", "bin_squares"):
-        keys = [*host_key, "second"]
-        bins = sub_key_totals(
-            events.withColumn("second", floor_div(c("ts_us"), SECOND_US)), keys, {"n": F.lit(1)}
-        )
-        parts["bins"] = value_changes(
-            bins, keys, c("dst_ip"), {"bins": lambda t: _flag(t("n")), "bin_squares": lambda t: t("n") * t("n")}
-        )
-    return list(parts.values())
-
-
-def read_points(ledger: DataFrame, points: DataFrame, host: str, names: Sequence[str], prefix: str = "") -> DataFrame:
-    """Ledger values at the points, by an equi-join on (host, time, trigger)."""
-    seen = ledger.where("is_point").select(
-        "capture_id", "width_us", F.col("host").alias(host), F.col("at_us").alias("ts_us"),
-        F.col("seq").alias("trigger_frame"), *[F.col(n).alias(prefix + n) for n in names],
-    )
-    return points.join(seen, ["capture_id", "width_us", host, "ts_us", "trigger_frame"])
+    values = {
+        "packet_count": F.lit(1), "byte_count": c("packet_length"), "flow_count": c("is_new").cast("long"), "domain_count": F.size("domains"),
+        "target_packet_count": F.lit(1), "udp_packets": (c("protocol") == "UDP").cast("long"), "inbound_bytes": c("packet_length"),
+        "total_window_packets": F.lit(1),
+    }
+    own = c(host) if host else F.lit(None).cast("string")
+    return _steps(events.withColumn("host", own), HOST, {n: values[n] for n in names}).drop("arrived_us")
 
 
 def _host_points(points: DataFrame, *sides: str) -> DataFrame:
-    out = None
-    for side in sides:
-        part = points.select("capture_id", "width_us", F.col(side).alias("host"), "ts_us", "trigger_frame")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Points of the hosts in these columns; '' stands for the capture as a whole."""
+    out = [points.select("capture_id", "width_us", (F.col(side) if side else F.lit(None).cast("string")).alias("host"), "ts_us", "trigger_frame") for side in sides]
+    return _together(out)
+
+
+def _ledger(parts: Sequence[DataFrame], names: Sequence[str], points: DataFrame) -> DataFrame:
+    """All measures of all hosts at their points."""
+    found = _sums(_together(parts), HOST, names, points, only_points=True)
+    return found.withColumns({n: F.col(n) + F.col(f"{n}_rest") / LOG_UNITS for n in names if n.endswith("_nlogn")})
+
+
+def read_points(ledger: DataFrame, points: DataFrame, host: str, names: Sequence[str]) -> DataFrame:
+    """Ledger values at the points, by an equi-join on (host, time, trigger)."""
+    seen = ledger.where(F.col("host").isNotNull()).select(
+        "capture_id", "width_us", F.col("host").alias(host), F.col("at_us").alias("ts_us"),
+        F.col("seq").alias("trigger_frame"), *names,
+    )
+    at = ["capture_id", "width_us", host, "ts_us", "trigger_frame"]
+    return points.join(seen.dropDuplicates(at), at)  # many points may ask for the same host at once; dealt like the join
+
+
+def _with_oldest(out: DataFrame, events: DataFrame) -> DataFrame:
+    """``first_us``: the oldest packet in the window of a source, 0 for none."""
+    keys = ["capture_id", "width_us", "src_ip"]
+    asked = out.select(*keys, "ts_us", "trigger_frame").distinct().withColumn("at_us", F.col("ts_us") - F.col("width_us"))
+    hits = first_at_or_after(asked, events.select(*keys, F.col("ts_us").alias("at_us")), keys, "at_us", F.struct("at_us"), "_hit")
+    own = hits.select(*keys, "ts_us", "trigger_frame", F.col("_hit.at_us").alias("_oldest"))
+    joined = out.join(own, [*keys, "ts_us", "trigger_frame"])
+    return joined.withColumn("first_us", F.when(F.col("packet_count") > 0, F.col("_oldest")).otherwise(0)).drop("_oldest")
+
+
+def _one_side(events: DataFrame, points: DataFrame, host: str, sums: Sequence[str], measures: Sequence[str], only: set[str] | None) -> DataFrame:
+    """The wanted measures of hosts in one role; ``only`` leaves out what nobody asked for."""
+    families = [f for f, (own, _, sides) in FAMILIES.items() for side, values in sides
+                if (own if side == "first" else FAMILIES[f][1]) == host and (only is None or only & set(values))]
+    parts, names = [], []
+    if only is None or only & {*sums, "first_us"}:
+        parts.append(_additive_steps(events, host, sums))
+        names += sums
+    if families:
+        steps, own = _derived_steps(_sub_totals(events, families), families, {n for f in families for side, values in FAMILIES[f][2] for n in values
+                                                                             if (FAMILIES[f][0] if side == "first" else FAMILIES[f][1]) == host})
+        parts.append(steps)
+        names += own
+    out = read_points(_ledger(parts, names, _host_points(points, host)), points, host, names)
+    return _with_oldest(out, events) if "first_us" in measures and "packet_count" in names and (only is None or "first_us" in only) else out
 
 
 def source_windows(events: DataFrame, points: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Source measures at points (capture_id, width_us, src_ip, ts_us, trigger_frame)."""
-    parts = source_parts(events, pair_totals(events), only)
-    ledger = _ledger(parts, _host_points(points, "src_ip"))
-    fixed = {"capture_id", "width_us", "host", *STEP, "is_point"}
-    return read_points(ledger, points, "src_ip", [n for n in ledger.columns if n not in fixed])
+    return _one_side(events, points, "src_ip", SOURCE_SUMS, SOURCE_MEASURES, only)
 
 
 def target_windows(events: DataFrame, points: DataFrame, only: set[str] | None = None) -> DataFrame:
     """Destination measures at points (capture_id, width_us, dst_ip, ts_us, trigger_frame)."""
-    parts = target_parts(events, pair_totals(events), only)
-    ledger = _ledger(parts, _host_points(points, "dst_ip"))
-    fixed = {"capture_id", "width_us", "host", *STEP, "is_point"}
-    return read_points(ledger, points, "dst_ip", [n for n in ledger.columns if n not in fixed])
+    return _one_side(events, points, "dst_ip", TARGET_SUMS, TARGET_MEASURES, only)
 
 
-def total_window_packets(events: DataFrame, points: DataFrame, slice_us: int = TOTAL_SLICE_US) -> DataFrame:
-    """Packets of the whole capture in the window, at points (capture_id, width_us, ts_us, trigger_frame).
-
-    The only key is the capture, so slices are short. What a packet adds at the start of later slices
-    is summed before the shuffle.
-    """
-    c = F.col
-    own = floor_div(c("ts_us"), slice_us)
-    leave_at = c("ts_us") + c("width_us") + 1
-    last = floor_div(leave_at, slice_us)
-    later = F.when(last > own, F.sequence(own + 1, last)).otherwise(F.array().cast("array<bigint>"))
-    carried = F.transform(
-        later,
-        lambda s: F.struct(s.alias(SLICE), (s * slice_us - 1).alias("at_us"), F.lit(-1).cast("long").alias("seq"),
-                           F.lit(1).cast("long").alias("total")),
-    )
-    edge = F.array(
-        F.struct(own.alias(SLICE), c("ts_us").alias("at_us"), c("frame_no").alias("seq"),
-                 F.lit(1).cast("long").alias("total")),
-        F.struct(last.alias(SLICE), leave_at.alias("at_us"), F.lit(-1).cast("long").alias("seq"),
-                 F.lit(-1).cast("long").alias("total")),
-    )
+def total_window_packets(events: DataFrame, points: DataFrame) -> DataFrame:
+    """Packets of the whole capture in the window, at points (capture_id, width_us, ts_us, trigger_frame)."""
     keys = ["capture_id", "width_us"]
-    steps = events.select(
-        *keys, F.explode(F.concat(carried, edge)).alias("_s")
-    ).select(*keys, "_s.*").groupBy(*keys, *STEP).agg(F.sum("total").alias("total"))
-    asked = points.select(
-        *keys, floor_div(c("ts_us"), slice_us).alias(SLICE), c("ts_us").alias("at_us"),
-        c("trigger_frame").alias("seq"), F.lit(0).cast("long").alias("total"), F.lit(True).alias("is_point"),
-    ).distinct()
-    merged = (
-        steps.withColumn("is_point", F.lit(False)).unionByName(asked)
-        .groupBy(*keys, *STEP).agg(F.sum("total").alias("total"), F.max("is_point").alias("is_point"))
-    )
-    upto = Window.partitionBy(*keys, SLICE).orderBy("at_us", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    seen = merged.withColumn("total_window_packets", F.sum("total").over(upto)).where("is_point").select(
-        *keys, F.col("at_us").alias("ts_us"), F.col("seq").alias("trigger_frame"), "total_window_packets"
-    )
-    return points.join(seen, [*keys, "ts_us", "trigger_frame"])
+    steps = _steps(events, keys, {"total_window_packets": F.lit(1)}).drop("arrived_us")
+    seen = _sums(steps, keys, ["total_window_packets"], points, only_points=True)
+    at = [*keys, "ts_us", "trigger_frame"]
+    return points.join(seen.select(*keys, F.col("at_us").alias("ts_us"), F.col("seq").alias("trigger_frame"), "total_window_packets").dropDuplicates(at), at)
 
 
 def history_complete(total: Column, max_events: int = MAX_WINDOW_EVENTS) -> Column:
@@ -397,36 +311,27 @@ def burstiness(packets: Column, bins: Column, squares: Column) -> Column:
     return F.when(bins >= 2, F.sqrt(F.greatest(exact_variance(bins, packets, squares), F.lit(0.0))) / mean)
 
 
-SOURCE_MEASURES = (
-    "packet_count", "byte_count", "flow_count", "domain_count", "first_us", "unique_destinations",
-    "destination_nlogn", "unique_destination_ports", "window_flows", "short_flows", "unique_domains",
-)
-TARGET_MEASURES = (
-    "target_packet_count", "udp_packets", "unique_sources", "source_nlogn", "bins", "bin_squares",
-)
-
-
 def temporal_snapshot(events: DataFrame, points: DataFrame) -> DataFrame:
     """All window measures at snapshot points.
 
-    ``points``: capture_id, width_us, src_ip, dst_ip, ts_us, trigger_frame (distinct). One ledger per
-    host holds source and destination measures together, so both reads share one shuffle.
+    ``points``: capture_id, width_us, src_ip, dst_ip, ts_us, trigger_frame (distinct). One scan follows all sub-keys, one more all
+    hosts in both roles together with the capture; only the points leave it.
     """
     c = F.col
-    # Pair totals feed both hosts and are read at the same points: computed once.
-    pairs = checkpoint(pair_totals(events, points))
-    parts = source_parts(events, pairs) + target_parts(events, pairs)
-    # Only the read points leave the ledger; they are read for both hosts.
-    ledger = checkpoint(_ledger(parts, _host_points(points, "src_ip", "dst_ip")).where("is_point"))
-    out = read_points(ledger, points, "src_ip", [*SOURCE_MEASURES, "inbound_bytes"])
+    totals = _sub_totals(events, list(FAMILIES), points)
+    steps, derived = _derived_steps(totals, list(FAMILIES), None)
+    parts = [steps, _additive_steps(events, "src_ip", SOURCE_SUMS), _additive_steps(events, "dst_ip", TARGET_SUMS),
+             _additive_steps(events, "", ["total_window_packets"])]
+    names = [*derived, *SOURCE_SUMS, *TARGET_SUMS, "total_window_packets"]
+    ledger = _ledger(parts, names, _host_points(points, "src_ip", "dst_ip", ""))
+    out = read_points(ledger, points, "src_ip", [n for n in (*SOURCE_MEASURES, "inbound_bytes") if n != "first_us"])
     out = read_points(ledger, out, "dst_ip", TARGET_MEASURES)
-    pair_values = pairs.where("is_point").select(
-        *PAIR, c("at_us").alias("ts_us"), c("seq").alias("trigger_frame"),
+    pair_values = totals.where("is_point").select(
+        "capture_id", "width_us", c("first").alias("src_ip"), c("second").alias("dst_ip"), c("at_us").alias("ts_us"), c("seq").alias("trigger_frame"),
         c("new").alias("connection_count"), c("gap").alias("connection_gaps"), c("gap2").alias("connection_gaps2"),
     )
     out = out.join(pair_values, [*PAIR, "ts_us", "trigger_frame"])
-    total_points = points.select("capture_id", "width_us", "ts_us", "trigger_frame").distinct()
-    out = out.join(
-        total_window_packets(events, total_points), ["capture_id", "width_us", "ts_us", "trigger_frame"]
-    )
-    return out
+    whole = ledger.where(c("host").isNull()).select(
+        "capture_id", "width_us", c("at_us").alias("ts_us"), c("seq").alias("trigger_frame"), "total_window_packets")
+    at = ["capture_id", "width_us", "ts_us", "trigger_frame"]
+    return _with_oldest(out.join(whole.dropDuplicates(at), at), events)

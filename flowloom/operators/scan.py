@@ -11,14 +11,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from flowloom.session import checkpoint
 
 FRAMES_PER_CHUNK = 1 << 17
-SCAN_CHUNK_US = 10_000_000
+#: The range of a row in ``ordered_scan``.
+CHUNK = "_chunk"
 #: Widths of a chain in one of its chunks: more make the carried tables smaller and the chunks larger.
 CHAIN_WIDTHS = 16
 
@@ -80,6 +84,142 @@ def chunk_scan(
     )
 
 
+def _new_keys(batch: pa.RecordBatch, keys: int) -> np.ndarray:
+    """Rows whose key differs from the one before (never the first row); nulls are equal."""
+    out = np.zeros(batch.num_rows, dtype=bool)
+    for column in batch.columns[:keys]:
+        left, right = column.slice(1), column.slice(0, len(column) - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(left, right), False), pc.not_equal(pc.is_null(left), pc.is_null(right)))
+        out[1:] |= differ.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _scan_sorted(
+    batches: Iterator[pa.RecordBatch], keys: int, folds: list[tuple[str, str, str, bool]], keep: str | None, schema: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    """Folds along sorted rows of one range, and two rows that tell how it begins and ends."""
+    chunk = TaskContext.get().partitionId()
+    key: tuple | None = None
+    first: tuple | None = None
+    held: dict[str, int | None] = {}
+    opening = True
+
+    def emit(taken: pa.RecordBatch | None, own: tuple, kind: int, values: dict, opened: object) -> pa.RecordBatch:
+        n = taken.num_rows if taken is not None else 1
+        columns = []
+        for field in schema:
+            if field.name in values:
+                columns.append(pa.array(values[field.name], field.type))
+            elif field.name == CHUNK:
+                columns.append(pa.repeat(pa.scalar(chunk, field.type), n))
+            elif field.name == "_kind":
+                columns.append(pa.repeat(pa.scalar(kind, field.type), n))
+            elif field.name == "_open":
+                columns.append(pa.array(opened, field.type))
+            elif taken is not None:
+                columns.append(taken.column(field.name).cast(field.type))
+            elif field.name in names:
+                columns.append(pa.array([own[names.index(field.name)]], field.type))
+            else:
+                columns.append(pa.nulls(1, field.type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    names: list[str] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        names = batch.schema.names[:keys]
+        begins = _new_keys(batch, keys)
+        front = tuple(c[0].as_py() for c in batch.columns[:keys])
+        if first is None:
+            first = front
+        elif front != key:
+            begins[0] = True
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(begins, at, 0))
+        follows = start == 0 if not begins[0] else np.zeros(n, dtype=bool)  # rows that go on with what was held
+        if begins[0]:
+            held, opening = {}, False
+        is_open = (start == 0) & opening if not begins.any() else (at < int(np.argmax(begins))) & opening
+        values: dict[str, object] = {}
+        after: dict[str, int | None] = {}
+        for name, how, source, inclusive in folds:
+            column = batch.column(source)
+            carried = held.get(name)
+            if how == "sum":
+                own = pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                total = np.cumsum(own)
+                running = total - (total[start] - own[start]) + np.where(follows, carried or 0, 0)
+                after[name] = int(running[-1])
+                values[name] = running if inclusive else running - own
+            else:
+                valid = column.is_valid().to_numpy(zero_copy_only=False)
+                own = pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                place = np.maximum.accumulate(np.where(valid, at, -1))
+                if not inclusive:
+                    after_place = place[-1]
+                    place = np.concatenate([[-1], place[:-1]])
+                else:
+                    after_place = place[-1]
+                known = place >= start
+                seen = np.where(known, own[np.maximum(place, 0)], carried if carried is not None else 0)
+                missing = ~known & ~(follows & (carried is not None))
+                values[name] = pa.array(seen, mask=missing)
+                ended = after_place >= start[-1]
+                after[name] = int(own[after_place]) if ended else (carried if follows[-1] else None)
+        held, key = after, tuple(c[n - 1].as_py() for c in batch.columns[:keys])
+        if keep is None:
+            yield emit(batch, key, 0, values, is_open)
+        else:
+            mask = pc.fill_null(batch.column(keep), False)
+            if mask.true_count:
+                chosen = mask.to_numpy(zero_copy_only=False)
+                picked = {k: v.filter(mask) if isinstance(v, pa.Array) else v[chosen] for k, v in values.items()}
+                yield emit(batch.filter(mask), key, 0, picked, is_open[chosen])
+        if begins.any():
+            opening = False
+    if first is not None:
+        yield emit(None, first, 1, {}, [False])
+        yield emit(None, key, 2, {name: [held.get(name)] for name, *_ in folds}, [False])
+
+
+def ordered_scan(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], folds: dict[str, tuple[str, str, bool]], *, keep: str | None = None
+) -> DataFrame:
+    """Running sums and last values per key, spread evenly over tasks whatever the keys are.
+
+    Rows are dealt by ranges of (key, order), so a key that holds most rows lies in many ranges. A task folds its range and adds two
+    rows: the key it begins with, and the key it ends with and what was folded for that one. From these few rows (two a task) follows
+    what each range has to add to the rows of its first key. One shuffle, whatever the number of folds.
+
+    ``folds`` maps an output name to ``(how, column, inclusive)``; ``how`` is "sum" or "last" (the newest value that is not null) of a
+    long column. ``order`` holds long columns without nulls, in scan direction. With ``keep``, a boolean column, only its rows come out. The
+    result is stored; it has the columns of ``rows`` (without ``keep``) and the folds. ``rows`` is read twice, once to find the ranges.
+    """
+    keys, order = list(keys), list(order)
+    payload = [n for n in rows.columns if n not in (*keys, keep)]
+    kinds = {f.name: f.dataType for f in rows.schema}
+    plan = [(name, how, source, inclusive) for name, (how, source, inclusive) in folds.items()]
+    fields = [StructField(n, kinds[n]) for n in (*keys, *payload)] + [StructField(n, LongType()) for n in folds]
+    fields += [StructField(CHUNK, IntegerType()), StructField("_kind", IntegerType()), StructField("_open", BooleanType())]
+    out = StructType(fields)
+    ranged = rows.select(*keys, *payload, *([keep] if keep else [])).repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    work = partial(_scan_sorted, keys=len(keys), folds=plan, keep=keep, schema=to_arrow_schema(out))
+    stored = checkpoint(ranged.mapInArrow(work, out))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK, "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    fold = {"sum": F.sum, "last": lambda n: F.last(n, ignorenulls=True)}
+    carry = stored.where("_kind > 0").select(
+        CHUNK, "_kind", *[fold[how](name).over(earlier).alias(f"_carry_{name}") for name, how, _, _ in plan]).where("_kind = 1").drop("_kind")
+    whole = stored.where("_kind = 0").join(F.broadcast(carry), CHUNK, "left")  # one row a task
+
+    def carried(name: str, how: str) -> Column:
+        own, before = F.col(name), F.when(F.col("_open"), F.col(f"_carry_{name}"))
+        return own + F.coalesce(before, F.lit(0)) if how == "sum" else F.coalesce(own, before)
+
+    return whole.select(*keys, *payload, *[carried(name, how).alias(name) for name, how, _, _ in plan])
+
+
 def first_at_or_after(
     points: DataFrame,
     events: DataFrame,
@@ -87,31 +227,24 @@ def first_at_or_after(
     at: str,
     event: Column,
     out: str,
-    *,
-    chunk_size: int = SCAN_CHUNK_US,
 ) -> DataFrame:
     """Forward as-of lookup: for each point the smallest event struct whose ``at`` is not earlier.
 
-    ``events`` needs the columns ``keys`` and ``at``; ``event`` is a struct that starts with ``at``.
-    Points without a later event keep a null.
+    ``events`` needs the columns ``keys`` and ``at``; ``event`` is a struct of longs that starts with ``at``. Points without a later event
+    keep a null. Both are scanned downwards in time together (``ordered_scan``), so one key may hold all rows.
     """
-    payload = [c for c in points.columns if c not in {*keys, at}]
-    packed = points.select(*keys, at, F.struct(*payload).alias("_point")) if payload else points.select(
-        *keys, at, F.struct(F.lit(1).alias("_one")).alias("_point")
-    )
-    marks = events.select(*keys, at, event.alias("_event"))
-    both = packed.withColumn("_event", F.lit(None).cast(marks.schema["_event"].dataType)).unionByName(
-        marks.withColumn("_point", F.lit(None).cast(packed.schema["_point"].dataType))
-    )
-    scanned = chunk_scan(
-        both,
-        keys,
-        F.expr(f"{at} div {chunk_size}"),
-        [F.col(at).desc(), F.col("_point").isNotNull().asc()],
-        {"_hit": ("min", F.col("_event"), True)},
-        reverse=True,
-    ).where(F.col("_point").isNotNull())
-    return scanned.select(*keys, at, *[F.col(f"_point.{c}").alias(c) for c in payload], F.col("_hit").alias(out))
+    keys, marks = list(keys), events.select(*keys, at, event.alias("_event"))
+    names = marks.schema["_event"].dataType.names
+    payload = [n for n in points.columns if n not in keys]
+    # At equal times events come first, the smallest one last.
+    then = -F.col(f"_event.{names[1]}") if len(names) > 1 else F.lit(0)
+    asked = points.select(*keys, *payload, (-F.col(at)).alias("_down"), F.lit(1).alias("_late"), F.lit(0).cast("long").alias("_then"),
+                          *[F.lit(None).cast("long").alias(f"_of_{n}") for n in names], F.lit(True).alias("_asked"))
+    given = marks.select(*keys, (-F.col(at)).alias("_down"), F.lit(0).alias("_late"), then.cast("long").alias("_then"), *[F.col(f"_event.{n}").cast("long").alias(f"_of_{n}") for n in names], F.lit(False).alias("_asked"))
+    both = asked.unionByName(given, allowMissingColumns=True)
+    hits = ordered_scan(both, keys, ["_down", "_late", "_then"], {f"_hit_{n}": ("last", f"_of_{n}", True) for n in names}, keep="_asked")
+    hit = F.struct(*[F.col(f"_hit_{n}").alias(n) for n in names])
+    return hits.select(*points.columns, F.when(F.col(f"_hit_{names[0]}").isNotNull(), hit).alias(out))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:

@@ -10,6 +10,7 @@ from flowloom.functions import ids, wire
 from flowloom.operators import alerts as al
 from flowloom.operators import contracts, evidence, features, flows, hostwindows, packets, telemetry
 from flowloom.operators.flows import FLOW
+from flowloom.operators.scan import ordered_scan
 from flowloom.plans import inputs
 from flowloom.plans.catalog import big, joined, query, r6, stages
 from flowloom.plans.oracles import BEHAVIOUR_COLUMNS, WINDOW_ID, block, digest, iso, sql
@@ -410,17 +411,11 @@ def _pair_counts(spark, sf, own: str, measure: str) -> DataFrame:
     s = stages(spark, sf)
     events = hostwindows.with_widths(s.events, [60])
     pairs = hostwindows.pair_totals(events)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*hostwindows.PAIR, hostwindows.SLICE).orderBy("at_us", "seq")
-    slice_end = (c(hostwindows.SLICE) + 1) * c("width_us")
-    stretches = pairs.select(
-        "capture_id", "src_ip", "dst_ip", c(measure).alias("n"),
-        F.greatest(c("at_us"), c(hostwindows.SLICE) * c("width_us")).alias("from_us"),
-        F.when(c("at_us") < c(hostwindows.SLICE) * c("width_us"), F.lit(-1)).otherwise(c("seq")).alias("from_seq"),
-        F.coalesce(F.lead("at_us").over(order), slice_end).alias("to_us"),
-        F.coalesce(F.lead("seq").over(order), F.lit(-1).cast("long")).alias("to_seq"),
-    ).where(c("n") > 0)
+    # The next step of a pair is the newest one of a scan downwards.
+    downwards = pairs.select(*hostwindows.PAIR, "at_us", "seq", c(measure).alias("n"), (-c("step_no")).alias("down"))
+    next_step = {"to_us": ("last", "at_us", False), "to_seq": ("last", "seq", False)}
+    stretches = ordered_scan(downwards, hostwindows.PAIR, ["down"], next_step).where(c("n") > 0).select(
+        "capture_id", "src_ip", "dst_ip", "n", c("at_us").alias("from_us"), c("seq").alias("from_seq"), "to_us", "to_seq")
     # One tick per second at most: a small table of one capture's clock, matched by whole second.
     ticks = s.ticks.select("capture_id", "tick_us", "tick_frame", (c("tick_us") / 1_000_000).cast("long").alias("second"))
     span = stretches.withColumn("second", F.explode(F.sequence((c("from_us") / 1_000_000).cast("long"), (c("to_us") / 1_000_000).cast("long"))))
