@@ -1,9 +1,9 @@
 """Toxicity: a lexicon trie intersected with Levenshtein automata, and scores from the context of each hit.
 
 The lexicon holds stems. Some are given (``SEEDS``); the others are learned: words and word beginnings that hardly occur in clean
-labelled texts, by information gain. A whole word ends with ``$``. All stems are one trie. A word that may be misspelled is the input of a Levenshtein automaton, whose states
-(one small row of edit counts) are carried along the branches of the trie; a branch dies when no count is left within the limit. So one
-walk compares the word with all stems. Words pass a cheap test before: with one edit at most, one half of a stem is intact.
+labelled texts, by information gain. A whole word ends with ``$``. All stems are one trie. A word that may be misspelled is the input of
+a Levenshtein automaton, whose states (place in the word, edits so far) are carried along the branches of the trie; a branch dies with its
+last state. So one walk compares the word with all stems. Words pass a cheap test before.
 
 Every hit counts by its context: less inside quotation marks or beside words of report ("said", "called"), more next to an address
 ("you are"). Hits by stem and by kind (exact, misspelled), their sum and their density are the inputs of a logistic model.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,57 +54,92 @@ QUOTES = "\"“”„«»'‘’`"
 _DROP = re.compile(r"[\W_]+")
 
 
-class Trie:
-    """Stems as nested dicts; a stem's number is at the key ''."""
+class Node:
+    """A place in the trie: nodes below by letter, the number of the stem that ends here, and what an edit here can lead to.
+
+    ``skips``: by letter, nodes below (with their own letter) that have a node below for it; ``ends``: nodes below that end a stem.
+    """
+
+    __slots__ = ("below", "stem", "skips", "ends")
+
+    def __init__(self) -> None:
+        self.below: dict[str, Node] = {}
+        self.stem: int | None = None
+        self.skips: dict[str, list[tuple[str, Node]]] = {}
+        self.ends: list[tuple[str, Node]] = []
+
+    def finish(self) -> None:
+        for own, node in self.below.items():
+            node.finish()
+            for letter in node.below:
+                self.skips.setdefault(letter, []).append((own, node))
+            if node.stem is not None:
+                self.ends.append((own, node))
+
 
+class Trie:
     def __init__(self, stems: list[str]):
-        self.root: dict = {}
-        self.heads, self.tails = set(), set()
+        self.root, self.sizes = Node(), [len(stem) for stem in stems]
         for k, stem in enumerate(stems):
             node = self.root
             for letter in stem:
-                node = node.setdefault(letter, {})
-            node[""] = k
-            half = len(stem) // 2
-            self.heads.add(stem[:half])
-            self.tails.add((half, stem[half:]))
-        self.head_sizes = sorted({len(h) for h in self.heads})
-        self.tail_sizes = sorted({(half, len(tail)) for half, tail in self.tails})
+                node = node.below.setdefault(letter, Node())
+            node.stem = k
+        self.root.finish()
+        # One edit leaves either the first two letters as they are or all from the fourth on, moved by one place at most.
+        self.heads = {stem[:2] for stem in stems if len(stem) > 4}
+        self.tails = {stem[3:6] for stem in stems if len(stem) > 5} | {stem[3:5] for stem in stems if len(stem) == 5}
+
+    def may_match(self, word: str) -> bool:
+        """A cheap test that no word fails which ``fuzzy`` finds something for."""
+        tails = self.tails
+        return (word[:2] in self.heads or word[3:6] in tails or word[2:5] in tails or word[4:7] in tails
+                or word[3:5] in tails or word[2:4] in tails or word[4:6] in tails)
 
     def exact(self, word: str) -> int | None:
         """The longest stem that the word begins with."""
         node, found = self.root, None
         for letter in word:
-            node = node.get(letter)
+            node = node.below.get(letter)
             if node is None:
                 break
-            found = node.get("", found)
+            if node.stem is not None:
+                found = node.stem
         return found
 
-    def may_match(self, word: str) -> bool:
-        if any(word[:n] in self.heads for n in self.head_sizes):
-            return True
-        return any((half, word[at : at + n]) in self.tails for half, n in self.tail_sizes
-                   for at in (half - 1, half, half + 1))
-
-    def fuzzy(self, word: str, limit: int = 1) -> int | None:
-        """The stem that some beginning of the word is within ``limit`` edits of (fewest edits, then longest)."""
-        best: tuple[int, int, int] | None = None
-        stack = [(self.root, "", tuple(range(len(word) + 1)))]  # a state: edits to each beginning of the word
-        while stack:
-            node, stem, row = stack.pop()
-            for letter, below in node.items():
-                if letter == "":
-                    edits = min(row)
-                    if len(stem) > 4 * limit and edits <= limit:
-                        best = min(best or (edits, -len(stem), below), (edits, -len(stem), below))
-                    continue
-                moved = [row[0] + 1]
-                for k, own in enumerate(word):
-                    moved.append(min(row[k] + (own != letter), row[k + 1] + 1, moved[k] + 1))
-                if min(moved) <= limit:
-                    stack.append((below, stem + letter, tuple(moved)))
-        return best[2] if best else None
+    def fuzzy(self, word: str) -> int | None:
+        """The stem of five letters or more that some beginning of the word is one edit away from at most (fewest, then longest).
+
+        An edit is a letter too many, too few or wrong, or two neighbours in the wrong order. The states of the automaton that are alive
+        are (place in the word, edits so far) at a node of the trie. One without an edit goes along the word; at each of its
+        nodes those with one edit begin, of which each can only go on letter by letter and mostly ends at once.
+        """
+        found: list[tuple[int, int, int]] = []
+        size, node, at = len(word), self.root, 0
+        while node is not None:
+            if node.stem is not None:
+                found.append((0, -self.sizes[node.stem], node.stem))
+            letter, after = word[at : at + 1], word[at + 1 : at + 2]
+            alive = []
+            if letter:
+                alive.append((node, at + 1))
+                alive += [(below, at) for _, below in node.skips.get(letter, ())]
+            if after:
+                alive += [(below, at + 1) for own, below in node.skips.get(after, ()) if own != letter]
+                swapped = node.below.get(after)
+                if swapped is not None and letter in swapped.below:
+                    alive.append((swapped.below[letter], at + 2))
+            for _, below in node.ends:
+                alive.append((below, size))
+            for state, k in alive:
+                while state is not None:
+                    if state.stem is not None:
+                        found.append((1, -self.sizes[state.stem], state.stem))
+                    state = state.below.get(word[k]) if k < size else None
+                    k += 1
+            node = node.below.get(letter) if letter else None
+            at += 1
+        return min((f for f in found if f[1] < -4), default=(0, 0, None))[2]
 
 
 class Hits(dict):
@@ -202,9 +238,15 @@ def learned_stems(sample: DataFrame) -> list[str]:
     return stems
 
 
+@lru_cache(maxsize=2)
+def hits_of(stems: tuple[str, ...]) -> Hits:
+    """One for a worker process: a word is looked up once for all tasks that run in it."""
+    return Hits(Trie(list(stems)))
+
+
 def _sample_features(batches: Iterator[pa.RecordBatch], stems: list[str]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
-    hits = Hits(Trie(stems))
+    hits = hits_of(tuple(stems))
     for batch in batches:
         texts, toxic = (c.to_pylist() for c in batch.columns)
         yield batch_of({"toxic": toxic, "x": [features(t, hits, len(stems)).tolist() for t in texts]}, schema)
@@ -239,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def _score(batches: Iterator[pa.RecordBatch], stems: list[str], weights: list[float], threshold: float) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
-    hits, w = Hits(Trie(stems)), np.array(weights)
+    hits, w = hits_of(tuple(stems)), np.array(weights)
     for batch in batches:
         ids, held_out, texts = (c.to_pylist() for c in batch.columns)
         scores = [float(1 / (1 + np.exp(-np.clip(features(t, hits, len(stems)) @ w, -30, 30)))) for t in texts]

@@ -234,28 +234,34 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for x in a:
-        new = [row[0] + 1]
+    """Letters too many, too few or wrong, and swapped neighbours."""
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a):
+        new = [i + 1]
         for k, y in enumerate(b):
-            new.append(min(row[k] + (x != y), row[k + 1] + 1, new[k] + 1))
-        row = new
-    return row[-1]
+            new.append(min(rows[-1][k] + (x != y), rows[-1][k + 1] + 1, new[k] + 1))
+            if i and k and x == b[k - 1] and a[i - 1] == y:
+                new[-1] = min(new[-1], rows[-2][k - 1] + 1)
+        rows.append(new)
+    return rows[-1][-1]
 
 
 def test_trie_walk_equals_edit_distance():
-    stems = ["idiot", "moron", "stupid", "pathetic", "scum"]
+    stems = ["idiot", "moron", "stupid", "pathetic", "scum", "idiomsx", "stupor$"]
     trie, rng = toxicity.Trie(stems), np.random.default_rng(2)
-    for _ in range(400):
+    hits = 0
+    for _ in range(3000):
         word = list(stems[rng.integers(len(stems))] + "".join(rng.choice(list("abst"), size=rng.integers(0, 3))))
         for _ in range(rng.integers(0, 3)):
             at = rng.integers(len(word))
-            word[at : at + rng.integers(0, 2)] = list("".join(rng.choice(list("idmx"), size=rng.integers(0, 2))))
+            word[at : at + rng.integers(0, 3)] = list("".join(rng.choice(list("idmx"), size=rng.integers(0, 2))) + "".join(word[at : at + 2][::-1]) * int(rng.integers(2)))
         word = "".join(word)
-        near = [s for s in stems if len(s) > 4 and min(edits(word[:k], s) for k in range(len(word) + 1)) <= 1]
-        found = trie.fuzzy(word)
-        assert (found is not None) == bool(near)
-        assert not near or (stems[found] in near and trie.may_match(word))
+        near = [(min(edits(word[:k], s) for k in range(len(word) + 1)), -len(s), n) for n, s in enumerate(stems) if len(s) > 4]
+        best = min(near)
+        assert trie.fuzzy(word) == (best[2] if best[0] <= 1 else None), word
+        assert best[0] > 1 or trie.may_match(word)
+        hits += best[0] == 1
+    assert hits > 500
 
 
 def test_toxicity_scores(spark):
