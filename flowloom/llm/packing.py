@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from flowloom.llm.common import batch_of, map_batches, text_of
 from flowloom.session import checkpoint
 
 CAPACITY = 2048
-#: Distinct chunks of text whose ids a task remembers (past it the memory starts anew), and that one call encodes.
-CACHE_CHUNKS = 400_000
+#: Distinct chunks of text whose ids a worker remembers (past it the later half goes: common chunks come early), and that one call encodes.
+CACHE_CHUNKS = 600_000
 CHUNKS_PER_CALL = 64
 #: Pieces that share a length are ranked in so many independent sub-ranges at least.
 RANK_RANGES = 64
@@ -62,7 +64,7 @@ class ChunkIds:
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) + len(chunks) > CACHE_CHUNKS:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), CACHE_CHUNKS // 2))
         new = [c for c in chunks if c not in self.known]
         # A few chunks to a call: a call has its costs, and the tokenizer's work on one text grows faster than the text.
         ids, begins, sizes, base = [], [], [], 0
@@ -105,8 +107,14 @@ class ChunkIds:
             yield b"".join(map(self.known.__getitem__, chunks))
 
 
+@lru_cache(maxsize=2)
+def chunk_ids_of(tokenizer_path: str) -> ChunkIds:
+    """One for a worker process: a chunk is encoded once for all tasks that run in it."""
+    return ChunkIds(tokenizer_path)
+
+
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    chunk_ids, end = ChunkIds(tokenizer_path), end_id.to_bytes(4, "little")
+    chunk_ids, end = chunk_ids_of(tokenizer_path), end_id.to_bytes(4, "little")
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in PIECES}
         doc_ids, texts = (c.to_pylist() for c in batch.columns)
