@@ -491,6 +491,23 @@ def _packet_folder(spark, sf) -> tuple[str, DataFrame]:
     return _sliced(spark, ordered, "packets", "flow_key"), ordered
 
 
+@query("stream_late", sql("select frame_no, ts_us, late from marked", "marked"))
+def stream_late(spark, sf):
+    """Packets in frame order, in slices that a stream takes one by one; a capture's part of a slice is one file."""
+    from flowloom.operators.packets import known_protocols
+
+    rows = known_protocols(inputs.packets(spark, sf)).select("capture_id", "frame_no", "ts_us")
+    path, out = scratch(spark, "arrivals"), scratch(spark, "late")
+    span = rows.agg(F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi")).first()
+    step = (span["hi"] - span["lo"]) // SLICES + 1
+    for i in range(SLICES):
+        part = rows.where(((c("frame_no") - span["lo"]) / step).cast("int") == i)
+        part.repartition(FILES_PER_SLICE, "capture_id").write.mode("append").parquet(path)
+    with streams.rocksdb(spark):
+        streams.drain(streams.mark_late(streams.packet_stream(spark, path, rows.schema, 1)), out, out + "-log")
+    return spark.read.parquet(out).select("frame_no", "ts_us", "late")
+
+
 @query("stream_rates", sql("""select capture_id, ts_us // 1000000 * 1000000 as interval_us, count(*) as packets, cast(sum(packet_length) as bigint) as bytes from keyed group by all""", "keyed"))
 def stream_rates(spark, sf):
     path, ordered = _packet_folder(spark, sf)
