@@ -38,7 +38,7 @@ def _xor(a: Column, b: Column) -> Column:
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """Per turn: conv_id, n (turns so far), p1, p2 (hash so far) and size (turns in all)."""
+    """Per turn, in the order in which it is rendered (rows of one turn by role, then text): conv_id, n (turns so far), p1, p2 (hash so far) and size (turns in all)."""
     chunks = rows.groupBy("conv_id", "segment").agg(F.expr("bit_xor(h1)").alias("c1"), F.expr("bit_xor(h2)").alias("c2"),
                                                    F.count("*").alias("c"))
     whole = Window.partitionBy("conv_id")
@@ -46,7 +46,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
     carried = chunks.select(
         "conv_id", "segment", F.expr("bit_xor(c1)").over(earlier).alias("c1"), F.expr("bit_xor(c2)").over(earlier).alias("c2"),
         F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"), F.sum("c").over(whole).alias("size"))
-    inside = Window.partitionBy("conv_id", "segment").orderBy("turn", "h1", "h2").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("conv_id", "segment").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("conv_id", "segment", F.expr("bit_xor(h1)").over(inside).alias("l1"),
                         F.expr("bit_xor(h2)").over(inside).alias("l2"), F.count("*").over(inside).alias("l"))
     return local.join(carried, ["conv_id", "segment"]).select(
@@ -56,7 +56,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 def maximal(rows: DataFrame) -> DataFrame:
     """Ids of conversations that are no proper prefix of another, one of each group of equals, with how many of these there are."""
-    marks = prefixes(rows.select("conv_id", "segment", "turn", "h1", "h2"))
+    marks = prefixes(rows.select("conv_id", "segment", "turn", "role", "text", "h1", "h2"))
     key = ["n", "p1", "p2"]
     inner = marks.where("n < size").select(*key).distinct()
     whole = marks.where("n = size").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))

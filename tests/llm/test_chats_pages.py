@@ -3,12 +3,15 @@
 import base64
 import hashlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowloom.llm import chats, warc
 from flowloom.llm.common import table
+from flowloom.llm.queries import CHATS_SQL
 
 CHAT = "conv_id long, turn int, role string, text string"
 
@@ -38,6 +41,18 @@ def test_maximal_conversations(spark, monkeypatch):
         assert text == "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in made[i])
 
 
+def test_several_rows_of_a_turn_equal_the_sql(spark):
+    rng = np.random.default_rng(12)
+    rows = [(2 * i + more, turn, role, text) for i in range(40) for more in (0, 1)
+            for turn, role, text in [(0, "user", f"a{i}"), *([(0, "user", f"b{i}")] if more else [])]]
+    rows += [(1000 + i, int(rng.integers(2)), str(rng.choice(["user", "assistant"])), str(rng.choice(["x", "y", "z"]))) for i in rng.integers(0, 40, 200).tolist()]
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = sorted(con.execute(f"select conv_id, segment, turns, copies, text from ({CHATS_SQL})").fetchall())
+    got = sorted(tuple(r) for r in chats.chat_rows(spark.createDataFrame(rows, CHAT)).select("conv_id", "segment", "turns", "copies", "text").collect())
+    assert got == want and {r[0] for r in want if r[0] < 80} == set(range(1, 80, 2))
+
+
 def test_chats_of_odd_rows(spark):
     frame = spark.createDataFrame([(1, None, None, None), (1, 0, "user", "a"), (None, 0, "user", "lost"), (2, 0, "user", ""), (3, 0, "user", ""),
                                    (3, 0, "user", ""), (4, 0, "user", "x"), (4, 0, "user", "y")], CHAT).withColumn("segment", F.lit(0))
