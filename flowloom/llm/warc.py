@@ -2,7 +2,7 @@
 
 Writing. A page is one record; the text sink writes it with the blank lines that end a record as its separator, so tasks
 write plain WARC files in parallel. Payloads are grouped by digest: the page with the smallest id keeps its payload, the
-others become revisits that name it.
+others become revisits that name it. Ids that are null come last; of rows with one id and payload, one is the response.
 
 Reading. Files are read by Spark's text source, cut at the version line, in as many splits as Spark likes. A piece of text that
 follows a version line is a candidate record: its header gives the length, so the offset of its successor. Payloads may hold a
@@ -12,8 +12,9 @@ past the split; between splits, pointer jumping from the start of each file squa
 log2(n) rounds. The result is the entry offset of every split. The second pass follows the chain from there and emits records;
 a payload that runs into further splits is put together by its offset.
 
-Defined cases: null html is an empty payload; null page_id rows are written with an empty id and read back as null; rows that repeat a
-page_id are records of their own (rows that are equal in every column stay what one of them would be); an empty table writes and reads no record;
+Defined cases: null html is an empty payload; null page_id rows are written with an empty id and read back as null (a revisit of one refers to
+null); rows that repeat a page_id, or are equal in every column, are records of their own, with names of their own; an empty table writes and
+reads no record;
 text before the first version line, after a broken header or past a wrong length is not reachable and not returned.
 """
 
@@ -24,6 +25,8 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,51 +51,72 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def revisits_of(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """(page_id, url, sha1) of pages that repeat the payload of a page with a smaller id, and that page's id as refers_to.
+def repeats_of(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """Payloads that several rows hold: sha1, page_id, url, copies (rows equal in these), own, first_id, first_url.
 
-    Only ids, addresses and digests are shuffled; digests that occur once take no further part.
+    ``own`` marks the rows of which one is the response: the smallest page_id (null last), then the smallest url. Only ids, addresses and digests
+    are shuffled, counted in tasks before; digests that occur once take no further part.
     """
-    seen = checkpoint(pages.select("page_id", "url", F.sha1("html").alias("sha1"), F.octet_length("html").alias("bytes"))
-                      .where(F.col("page_id").isNotNull() & (F.col("bytes") >= min_bytes)))
-    first = seen.groupBy("sha1").agg(F.min(F.struct("page_id", "url")).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    own = (F.col("page_id") == F.col("_first.page_id")) & F.col("url").eqNullSafe(F.col("_first.url"))
-    return seen.join(first, "sha1").where(~own).select("page_id", "url", "sha1", F.col("_first.page_id").alias("refers_to")).distinct()
+    seen = pages.select("page_id", "url", F.sha1("html").alias("sha1")).where(F.octet_length("html") >= min_bytes)
+    per = checkpoint(seen.groupBy("sha1", "page_id", "url").agg(F.count("*").alias("copies")))
+    place = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    first = per.groupBy("sha1").agg(F.min(place).alias("_first"), F.sum("copies").alias("_n")).where("_n > 1")
+    own = F.col("page_id").eqNullSafe(F.col("_first.page_id")) & F.col("url").eqNullSafe(F.col("_first.url"))
+    return per.join(first, "sha1").select("sha1", "page_id", "url", "copies", own.alias("own"), F.col("_first.page_id").alias("first_id"),
+                                          F.col("_first.url").alias("first_url"))
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def record_id(page_id: int | None, url: str | None, sha1: str, copy: int) -> str:
+    """Name of a record: the page's id, and what tells it from other rows with that id."""
+    rest = "\n".join(("-" if url is None else "+" + url, sha1, str(copy)))
+    return f"<urn:page:{'' if page_id is None else page_id}:{hashlib.sha1(rest.encode()).hexdigest()}>"
+
+
+def _records(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("value", pa.string())])
     for batch in batches:
         out = []
-        for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            body = b"" if refers_to is not None else html
-            name = "" if page_id is None else str(page_id)
+        for page_id, url, html, sha1, copy, revisit, first_id, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            body = html or b""
             head = [
-                f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-                f"WARC-Record-ID: <urn:page:{name}>",
+                f"WARC-Type: {'revisit' if revisit else 'response'}",
+                f"WARC-Record-ID: {record_id(page_id, url, sha1, copy)}",
+                f"WARC-Date: {date}",
                 "WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or ""),
-                f"WARC-Payload-Digest: sha1:{base32_sha1(html)}",
+                f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
                 f"Content-Length: {len(body)}",
             ]
-            if refers_to is not None:
-                head[4:4] = [f"WARC-Refers-To: <urn:page:{refers_to}>",
+            if revisit:
+                head[5:5] = [f"WARC-Refers-To: {record_id(first_id, first_url, sha1, 1)}",
                              "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
             out.append(MAGIC + "\r\n".join(head) + END + body.decode())
         yield batch_of({"value": out}, schema)
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES) -> None:
-    """Write one record per row of pages (page_id, url, html) into WARC files under ``path``."""
+def write_warc(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, date: str | None = None) -> None:
+    """Write one record per row of pages (page_id, url, html) into WARC files under ``path``; ``date`` (default: now) is in all records.
+
+    Revisits have no payload, so they are written from the table of repeats. Of rows equal in every column one is written with its payload.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    revisits = checkpoint(revisits_of(rows, min_bytes))
-    if revisits.count() <= BROADCAST_REVISITS:
-        revisits = F.broadcast(revisits)
-    r = revisits.alias("r")
-    same = (F.col("p.page_id") == F.col("r.page_id")) & (F.sha1("p.html") == F.col("r.sha1"))
-    typed = rows.alias("p").join(r, same & F.col("p.url").eqNullSafe(F.col("r.url")), "left").select(
-        "p.page_id", "p.url", "p.html", "r.refers_to")
-    map_batches(typed, _records, "value string").write.option("lineSep", END).text(path)
+    repeats = checkpoint(repeats_of(rows, min_bytes))
+    known = F.broadcast(repeats) if repeats.count() <= BROADCAST_REVISITS else repeats
+    r = known.alias("r")
+    same = (F.sha1("p.html") == F.col("r.sha1")) & F.col("p.page_id").eqNullSafe(F.col("r.page_id")) & F.col("p.url").eqNullSafe(F.col("r.url"))
+    held = rows.alias("p").join(r, same, "left").where("r.sha1 is null or r.own").select(
+        "p.page_id", "p.url", "p.html", F.sha1("p.html").alias("sha1"), (F.coalesce("r.copies", F.lit(1)) > 1).alias("tied"))
+    record = ("page_id", "url", "html", "sha1", "copy", "revisit", "first_id", "first_url")
+    response = {"copy": F.lit(1).cast("long"), "revisit": F.lit(False), "first_id": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")}
+    written = held.where("not tied").withColumns(response).select(*record)
+    if not repeats.where("own and copies > 1").isEmpty():
+        one = held.where("tied").groupBy("sha1", "page_id", "url").agg(F.first("html").alias("html"))
+        written = written.unionByName(one.withColumns(response).select(*record))
+    copies = repeats.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).where("not own or copy > 1")
+    written = written.unionByName(copies.select("page_id", "url", F.lit(None).cast("binary").alias("html"), "sha1", "copy",
+                                                F.lit(True).alias("revisit"), "first_id", "first_url"))
+    map_batches(written, partial(_records, date=date), "value string").write.option("lineSep", END).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -268,17 +292,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
-                        ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+                        ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("name", pa.string())])
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in schema}
         for header, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             named = dict(line.split(": ", 1) for line in header.split("\r\n") if ": " in line)
-            page = lambda field: re.fullmatch(r"<urn:page:(-?\d+)>", named.get(field, ""))
+            page = lambda field: re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]+>", named.get(field, ""))
             own, other = page("WARC-Record-ID"), page("WARC-Refers-To")
             revisit = named["WARC-Type"] == "revisit"
             digest = named.get("WARC-Payload-Digest", "").rpartition(":")[2] if revisit else base32_sha1(block)
             row = (int(own[1]) if own else None, named["WARC-Type"], int(other[1]) if other else None,
-                   None if revisit else len(block), digest)
+                   None if revisit else len(block), digest, named.get("WARC-Refers-To" if revisit else "WARC-Record-ID"))
             for name, value in zip(out, row, strict=True):
                 out[name].append(value)
         yield batch_of(out, schema)
@@ -288,16 +312,15 @@ def page_records(records: DataFrame) -> DataFrame:
     """Read records as pages: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Size and digest of a response are those of the bytes that were read. A revisit has its digest from its header, and its
-    size from the response that it refers to, which must have that digest (else the size is null).
+    size from the response that it names, which must have that digest (else the size is null).
     """
-    read = checkpoint(map_batches(records.select("header", "block"), _payloads,
-                                  "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"))
+    read = checkpoint(map_batches(records.select("header", "block"), _payloads, "page_id long, record_type string, refers_to long, "
+                                  "payload_bytes long, payload_digest string, name string"))
     responses = read.where("record_type = 'response'")
-    full = responses.where("page_id is not null").select(
-        F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
-    revisits = read.where("record_type = 'revisit'").drop("payload_bytes").join(full, ["refers_to", "payload_digest"], "left")
+    revisits = read.where("record_type = 'revisit'").drop("payload_bytes")
+    full = responses.where("name is not null").select("name", "payload_digest", "payload_bytes").distinct()
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return responses.select(*columns).unionByName(revisits.select(*columns))
+    return responses.select(*columns).unionByName(revisits.join(full, ["name", "payload_digest"], "left").select(*columns))
 
 
 def archive_path(spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 
 import duckdb
 import numpy as np
@@ -106,16 +107,33 @@ def test_false_beginnings_are_not_reachable(spark):
     assert sorted((r.start, r.length) for r in warc.read_warc(spark, path).collect()) == [(0, 3), (len(good) + 4, 50)]
 
 
+ODD_PAGES = [(1, "u", "same"), (1, "u", "same"), (1, "t", "same"), (2, None, "same"), (2, "v", None), (None, "w", "same"), (3, "", ""),
+             (None, "w", "lone"), (None, "w", "lone"), (None, None, "lone"), (9, "z", "nine"), (5, "z", "nine"), (5, "z", "nine"), (-4, "é \n", "minus")]
+
+
 def test_pages_of_odd_rows(spark, sf):
-    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, None, "same"), (2, "v", None), (None, "w", "same"), (3, "", "")],
-                                  "page_id long, url string, html string").withColumn("digest", F.lit("x"))
-    got = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in round_trip(spark, pages))
-    assert got == [("1", "response", "None", 4), ("1", "response", "None", 4), ("2", "response", "None", 0), ("2", "revisit", "1", 4),
-                   ("3", "revisit", "2", 0), ("None", "response", "None", 4)]
+    """Ties, repeated rows and rows without an id against a plain choice: one response a payload, all others revisit it."""
+    pages = spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string").withColumn("digest", F.lit("x")).repartition(3)
+    want = []
+    for payload in {h or "" for _, _, h in ODD_PAGES}:
+        ids = sorted((i for i, _, h in ODD_PAGES if (h or "") == payload), key=lambda i: (i is None, i or 0))
+        want += [(i, len(payload.encode()), digest(payload), "revisit" if k else "response", ids[0] if k else None) for k, i in enumerate(ids)]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in round_trip(spark, pages)]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert round_trip(spark, pages.limit(0)) == []
     assert len(round_trip(spark, table(spark, sf, "pages"))) == table(spark, sf, "pages").count()
 
 
+def test_records_have_names_and_dates(spark):
+    path = warc.archive_path(spark)
+    warc.write_warc(spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string"), path)
+    heads = [dict(line.split(": ", 1) for line in r.header.split("\r\n") if line) for r in warc.read_warc(spark, path).collect()]
+    names = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(names) == len(ODD_PAGES) and len({h["WARC-Date"] for h in heads}) == 1
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"]) for h in heads)
+    assert all(names[h["WARC-Refers-To"]]["WARC-Type"] == "response" for h in heads if h["WARC-Type"] == "revisit")
+
+
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")
     before, seen = docs, []
