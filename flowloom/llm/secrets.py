@@ -18,6 +18,8 @@ but ``redacted`` keeps them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,39 +37,79 @@ LEAST_ASSIGNED = 12
 EXAMPLE_OWNERS = 8
 #: Bits a character from which a value looks random; hexadecimal digits reach 4 at most.
 LIVE_BITS = 2.8
+#: Finds of a text are folded in blocks of so many, a text is cut in pages of so many code points: time grows with the text.
+BLOCK, PAGE = 128, 1024
+#: Behind every text.
+NOWHERE = 2**31 - 1
+
+larger = lambda a, b: F.greatest(a, b)
+smaller = lambda a, b: F.least(a, b)
 
 FIND = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside a lambda an expression would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, first: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of a few values what was folded before it. Every step copies the array made so far."""
+    start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda done, v: F.struct(
+        combine(done["at"], v).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out"))
+    return F.aggregate(values, start, step, lambda done: done["out"])
+
+
+def _folded(values: Column, zero: int, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value what was folded before it: blocks are folded, then the values of each block from what its block starts with."""
+    last = lambda all_: F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / BLOCK).cast("int")
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), last(all_)), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+    whole = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), combine))
+    return _let(values, lambda all_: _let(cut(all_), lambda blocks: F.flatten(F.zip_with(
+        blocks, _before(whole(blocks), F.lit(zero), combine), lambda b, first: _before(b, first, combine)))))
+
+
 def _placed(text: Column, pattern: str, kind: int) -> Column:
     """All matches with their places: structs of start, kind, end, value (of an assignment: of its right side)."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if kind == 0 else whole
-    pair = lambda w, v: F.struct(w.alias("whole"), v.alias("value"))
-    row = lambda g, m: F.struct(g.alias("gap"), m["whole"].alias("whole"), m["value"].alias("value"))
-    zipped = F.zip_with(F.split(text, pattern, -1), F.zip_with(whole, value, pair), row)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FIND).alias("found"))
-
-    def step(done: Column, one: Column) -> Column:
-        begin = done["at"] + F.length(one["gap"])
-        end = begin + F.length(one["whole"])
-        find = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), one["value"].alias("value"))
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(one["whole"].isNull(), done["found"]).otherwise(
-            F.concat(done["found"], F.array(find))).alias("found"))
-
-    found = F.aggregate(zipped, start, step, lambda done: done["found"])
+    pair = lambda w, v: F.struct(F.length(w).alias("size"), v.alias("value"))
+    sized = F.zip_with(whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), pair) if kind == 0 else F.transform(
+        whole, lambda w: pair(w, w))
+    row = lambda g, m: F.struct(F.length(g).alias("gap"), m["size"].alias("size"), m["value"].alias("value"))
+    zipped = F.filter(F.zip_with(F.split(text, pattern, -1), sized, row), lambda m: m["size"].isNotNull())
+
+    def find(m: Column, before: Column) -> Column:
+        begin = before + m["gap"]
+        return F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + m["size"]).alias("end"), m["value"].alias("value"))
+
+    found = _let(zipped, lambda rows: F.zip_with(
+        rows, _folded(F.transform(rows, lambda m: m["gap"] + m["size"]), 0, lambda a, b: a + b), find))
     if kind == 0:
         found = F.filter(found, lambda f: F.length(f["value"]) >= LEAST_ASSIGNED)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(FIND))
 
 
+def _apart(sorted_finds: Column) -> Column:
+    """Finds in order of (start, kind) without the bare ones that touch a base find.
+
+    Such a base find either starts no later and ends behind the bare find's start, or is the next one and starts before its end.
+    """
+    bare = lambda f: f["kind"] == len(KINDS) - 1
+    ends = lambda all_: F.transform(all_, lambda f: F.when(bare(f), 0).otherwise(f["end"]))
+    starts = lambda all_: F.transform(F.reverse(all_), lambda f: F.when(bare(f), NOWHERE).otherwise(f["start"]))
+    around = lambda all_: F.zip_with(_folded(ends(all_), 0, larger), F.reverse(_folded(starts(all_), NOWHERE, smaller)),
+                                     lambda end, start: F.struct(end.alias("end"), start.alias("start")))
+    free = lambda f, near: F.when(~bare(f) | ((near["end"] <= f["start"]) & (near["start"] >= f["end"])), f)
+    return _let(sorted_finds, lambda all_: F.filter(F.zip_with(all_, around(all_), free), lambda f: f.isNotNull()))
+
+
 def _bits(value: Column) -> Column:
     """Shannon entropy of a value's characters."""
     letters = F.split(value, "")
     n = F.length(value).cast("double")
-    share = lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n
-    return F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda total, c: total + F.when(
-        c == "", 0.0).otherwise(-share(c) * F.log2(share(c))))
+    shares = F.transform(F.filter(F.array_distinct(letters), lambda c: c != ""), lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n)
+    return F.aggregate(shares, F.lit(0.0), lambda total, share: total - share * F.log2(share))
 
 
 def _mixed(value: Column) -> Column:
@@ -82,9 +124,9 @@ def finds(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] =
     placed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "owner", "repository", F.concat(
         _placed(F.col("text"), ASSIGN, 0), _placed(F.col("text"), ACCESS, 1), _placed(F.col("text"), HEX, 2)).alias("base"),
         _placed(F.col("text"), BARE, 3).alias("long"))
-    touches = lambda b: F.exists("base", lambda f: (f["start"] < b["end"]) & (b["start"] < f["end"]))
-    apart = F.filter("long", lambda b: _mixed(b["value"]) & ~touches(b))
-    return placed.select("doc_id", "text_hash", "owner", "repository", F.array_sort(F.concat("base", apart)).alias("finds"))
+    free = lambda all_: F.filter(all_, lambda f: (f["kind"] < len(KINDS) - 1) | _mixed(f["value"]))
+    both = F.when(F.size("long") == 0, F.array_sort("base")).otherwise(free(_apart(F.array_sort(F.concat("base", "long")))))
+    return placed.select("doc_id", "text_hash", "owner", "repository", both.alias("finds"))
 
 
 def classes(found: DataFrame) -> DataFrame:
@@ -131,16 +173,26 @@ def scan(docs: DataFrame) -> DataFrame:
         number(lambda f: f["class"] == "example").alias("n_example"), F.coalesce(F.array_max("s.owners"), F.lit(0)).alias("max_owners"))
 
 
+def _between(pages: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text in pages of ``PAGE``: reads the pages it lies in, not the text before them."""
+    first, last = F.floor(a / PAGE).cast("int"), F.floor(b / PAGE).cast("int")
+    page = lambda k: F.coalesce(F.get(pages, k), F.lit(""))
+    inside = F.substring(page(first), a % PAGE + 1, b - a)
+    over = F.concat(F.substring(page(first), a % PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+                    F.substring(page(last), F.lit(1), b % PAGE))
+    return F.when(first == last, inside).otherwise(over)
+
+
 def _cut_out(text: Column, spans: Column, mask: str) -> Column:
     """The text with every run of overlapping spans replaced."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    paged = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
 
-    def step(done: Column, s: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], gap, F.lit(mask))).otherwise(done["out"])
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), out.alias("out"))
+    def pieces(pages: Column, cuts: Column) -> Column:
+        before = _folded(F.transform(cuts, lambda s: s["end"]), 0, larger)
+        own = F.zip_with(cuts, before, lambda s, done: F.when(s["start"] >= done, F.concat(_between(pages, done, s["start"]), F.lit(mask))).otherwise(""))
+        return F.concat(F.array_join(own, ""), _between(pages, F.array_max(F.transform(cuts, lambda s: s["end"])), F.length(text)))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    return _let(paged, lambda pages: _let(F.array_sort(spans), lambda cuts: pieces(pages, cuts)))
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
