@@ -7,7 +7,7 @@ into chunks of bounded size, scan inside the chunk, and carry a one-row summary
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ FRAMES_PER_CHUNK = 1 << 17
 CHUNK = "_chunk"
 #: Widths of a chain in one of its chunks: more make the carried tables smaller and the chunks larger.
 CHAIN_WIDTHS = 16
+#: Chunks of a chain (three or more) that are composed to a larger one: a task walks the tables of so many at most.
+CHAIN_FAN = 256
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -267,18 +269,22 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _chunk_tables(batches: Iterator[pa.RecordBatch], width_us: int, chunk_us: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk: for every time at which the chain may enter, the last time it keeps there (``last_us``)."""
+    """Per chunk: for every time at which the chain may enter, the last time it keeps there (``last_us``).
+
+    Rows that have ``last_us`` already are entries of smaller chunks; these are composed to entries of the chunk that holds them all.
+    """
     for run in _runs(batches):
         times = run["ts_us"].to_numpy()
-        follower = np.searchsorted(times, times + width_us)
+        reach = run["last_us"].to_numpy() if "last_us" in run.column_names else times
+        follower = np.searchsorted(times, reach + width_us)
         last = np.where(follower == len(times), np.arange(len(times)), follower)
         while (last[last] != last).any():  # pointers within the chunk: log2 of the times kept in it
             last = last[last]
         # Whoever comes from the chunk before enters at a time of the first width, or at the first one after it.
         doors = int(np.searchsorted(times, (times[0] // chunk_us) * chunk_us + width_us)) + 1
         doors = min(doors, len(times))
-        out = run.slice(0, doors).append_column("last_us", pa.array(times[last[:doors]], pa.int64()))
-        yield from out.drop_columns(["_run"]).to_batches()
+        out = run.select([n for n in run.column_names if n not in ("_run", "last_us")]).slice(0, doors)
+        yield from out.append_column("last_us", pa.array(reach[last[:doors]], pa.int64())).to_batches()
 
 
 def _walk(batches: Iterator[pa.RecordBatch], keys: int, width_us: int) -> Iterator[pa.RecordBatch]:
@@ -316,10 +322,11 @@ def greedy_chain(rows: DataFrame, keys: Sequence[str], width_us: int, *, staged:
     ``rows`` has the columns ``keys``, ``ts_us`` and ``pos`` (order within equal times). Returns
     ``keys, ts_us, pos`` of the kept rows. Time is cut into chunks of ``CHAIN_WIDTHS`` widths. A task sees
     one chunk of one key and tells, for every time at which the chain may enter, where it leaves: those of
-    the first width only, so a key's tables are a small part of its rows. One streamed pass over them
-    carries the entry from chunk to chunk; then each chunk gives its kept rows. All work is linear in the
-    rows and the same for every size. ``staged`` says that ``rows`` is cheap to read again; otherwise they
-    are written once first.
+    the first width only, so a key's tables are a small part of its rows. The tables of ``CHAIN_FAN`` neighbouring chunks
+    are composed to one of a larger chunk, and so on until a key has no more than that many; then the entry of each chunk
+    follows downwards, from larger to smaller ones, and chunks give their kept rows. No task sees all chunks of a key, all
+    work is linear in the rows, and the number of levels is the logarithm of the time that is covered. ``staged`` says
+    that ``rows`` is cheap to read again; otherwise they are written once first.
     """
     keys, chunk_us = list(keys), CHAIN_WIDTHS * width_us
     base = rows.groupBy(*keys, "ts_us").agg(F.min("pos").alias("pos"))
@@ -332,13 +339,30 @@ def greedy_chain(rows: DataFrame, keys: Sequence[str], width_us: int, *, staged:
 
     sample = cut.select(*keys, "_chunk", "ts_us")
     schema = StructType([*sample.schema.fields, StructField("last_us", LongType())])
-    tables = in_runs(sample.select("*", run)).mapInArrow(partial(_chunk_tables, width_us=width_us, chunk_us=chunk_us), schema)
-    ordered = tables.repartition(*keys).sortWithinPartitions(*keys, "_chunk", "ts_us")
+
+    def composed(df: DataFrame, span_us: int) -> DataFrame:
+        return checkpoint(in_runs(df.select("*", run)).mapInArrow(partial(_chunk_tables, width_us=width_us, chunk_us=span_us), schema))
+
+    def entered(df: DataFrame, entries: DataFrame, within: Column) -> DataFrame:
+        """Rows of ``df`` in the chunks (``within``) of ``entries``, with the time at which the chain enters there."""
+        entry = entries.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_chunk").alias("_in"), F.col("ts_us").alias("_enter"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], within == F.col("_in"))
+        return df.join(entry, same)
+
+    levels = [composed(sample, chunk_us)]
+    covered = levels[0].groupBy(*keys).agg((F.max("_chunk") - F.min("_chunk")).alias("n")).agg(F.max("n")).first()[0] or 0
+    larger = F.floor(F.col("_chunk") / F.lit(CHAIN_FAN)).cast("long")
+    span_us = chunk_us
+    while covered >= CHAIN_FAN:
+        covered, span_us = covered // CHAIN_FAN + 1, span_us * CHAIN_FAN
+        levels.append(composed(levels[-1].withColumn("_chunk", larger), span_us))
+    ordered = levels.pop().repartition(*keys).sortWithinPartitions(*keys, "_chunk", "ts_us")
     entries = checkpoint(ordered.mapInArrow(partial(_walk, keys=len(keys), width_us=width_us), sample.schema))
-    entry = entries.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_chunk").alias("_in"), F.col("ts_us").alias("_enter"))
-    same = F.col("_chunk") == F.col("_in")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    bound = cut.join(entry, same).select(*keys, "_chunk", "ts_us", "pos", "_enter", run)
+    while levels:
+        inner = entered(levels.pop(), entries, larger).where("ts_us >= _enter").select(*keys, F.col("_in").alias("_outer"), "_chunk", "ts_us", "last_us")
+        ordered = inner.repartition(*keys, "_outer").sortWithinPartitions(*keys, "_outer", "_chunk", "ts_us")
+        walked = ordered.mapInArrow(partial(_walk, keys=len(keys) + 1, width_us=width_us), inner.drop("last_us").schema)
+        entries = checkpoint(walked.drop("_outer"))
+    bound = entered(cut, entries, F.col("_chunk")).select(*keys, "_chunk", "ts_us", "pos", "_enter", run)
     out = ["ts_us", "pos"]
     return in_runs(bound).mapInArrow(partial(_kept, width_us=width_us, columns=[*keys, *out]), cut.select(*keys, *out).schema)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom import session
-from flowloom.operators.scan import CHUNK, first_at_or_after, ordered_scan
+from flowloom.operators import scan
+from flowloom.operators.scan import CHUNK, first_at_or_after, greedy_chain, ordered_scan
 
 ROWS = "k string, j long, at long, v long, w long, asked boolean, name string"
 
@@ -80,3 +81,25 @@ def test_first_at_or_after_equals_a_search(spark, seed):
                             ["k"], "at", F.struct("at", "frame"), "hit").collect()
     want = {i: min(((t, f) for e, t, f in events if e == k and t >= at), default=None) for k, at, i in points}
     assert {r.id: tuple(r.hit) if r.hit else None for r in got} == want and len(got) == len(points)
+
+
+@pytest.mark.parametrize(("fan", "widths"), [(3, 1), (5, 2), (256, 16)])
+def test_chain_equals_a_loop(spark, monkeypatch, fan, widths):
+    """Crowded and empty stretches, gaps of just under and over a width, many levels of chunks, a null key, one key with most rows."""
+    monkeypatch.setattr(scan, "CHAIN_FAN", fan)
+    monkeypatch.setattr(scan, "CHAIN_WIDTHS", widths)
+    rng = random.Random(fan)
+    rows, at = [], -900
+    for i in range(700):
+        at += rng.choice([0, 1, 3, 9, 10, 11, 11, 40] if i % 100 > 5 else [10, 500])
+        rows.append((rng.choice(["hot", "hot", "hot", "a", None]), at, i))
+    rows += [("lone", 5, 0)]
+    want, last = [], {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        if k not in last or t - last[k] >= 10:
+            want.append((k, t, i))
+            last[k] = t
+    rng.shuffle(rows)
+    got = greedy_chain(spark.createDataFrame(rows, "k string, ts_us long, pos long").repartition(3), ["k"], 10).collect()
+    assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, want))
+    assert greedy_chain(spark.createDataFrame([], "k string, ts_us long, pos long"), ["k"], 10).count() == 0
