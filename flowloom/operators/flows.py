@@ -9,7 +9,7 @@ from flowloom.fixed import ACTIVE_US, IDLE_US, SNAPSHOT_MIN_PACKETS, SNAPSHOT_US
 from flowloom.functions.ids import flow_id
 from flowloom.functions.values import exact_variance
 from flowloom.operators.packets import frame_chunk
-from flowloom.operators.scan import FRAMES_PER_CHUNK, chunk_scan, first_at_or_after, greedy_chain
+from flowloom.operators.scan import FRAMES_PER_CHUNK, chunk_scan, first_at_or_after, greedy_chain, ordered_scan
 from flowloom.session import checkpoint
 
 FLOW = ["capture_id", "flow_start"]
@@ -309,11 +309,33 @@ def _increments() -> list[Column]:
     return [v.cast("long").alias(n) for n, v in zip(_SUMS, values, strict=True)]
 
 
+def _state_after_packets(flow_packets: DataFrame) -> DataFrame:
+    """Sums and newest values run along each flow. Of dns, tls and quic the newest frame that has one is carried; their content is joined to it."""
+    c, kinds = F.col, ("dns", "tls", "quic")
+    shown = ["flow_key", "a_ip", "a_port", "b_ip", "b_port", "protocol"]
+    first = lambda v: F.when(c("is_new"), v.cast("long"))
+    rows = flow_packets.select(*FLOW, "frame_no", *shown, c("ts_us").alias("last_seen_us"), c("src_ip").alias("last_src_ip"),
+                               first(c("ts_us")).alias("_first_us"), first(c("direction") == "A_TO_B").alias("_a_first"),
+                               *[F.when(c(k).isNotNull(), c("frame_no")).alias(f"_has_{k}") for k in kinds], *_increments())
+    rows = rows.withColumnsRenamed({n: f"_add_{n}" for n in _SUMS})
+    folds = {"start_us": ("last", "_first_us", True), "_from_a": ("last", "_a_first", True)}
+    folds |= {f"_of_{k}": ("last", f"_has_{k}", True) for k in kinds} | {n: ("sum", f"_add_{n}", True) for n in _SUMS}
+    state = ordered_scan(rows, FLOW, ["frame_no"], folds)
+    for k in kinds:  # one frame may be the newest for most packets of a flow: adaptive execution splits the packets' side
+        content = flow_packets.where(c(k).isNotNull()).select(*FLOW, c("frame_no").alias(f"_of_{k}"), k)
+        state = state.join(content, [*FLOW, f"_of_{k}"], "left")
+    return state.select(*FLOW, "frame_no", *shown, "last_seen_us", c("frame_no").alias("last_frame"), "last_src_ip", "start_us",
+                        (c("_from_a") == 1).alias("a_is_initiator"), *_SUMS, *kinds)
+
+
 def running_flow_state(flow_packets: DataFrame, by: str = "frame_no") -> DataFrame:
     """Flow state after each packet, or after each tick when ``by`` is ``tick_frame``.
 
-    An active limit bounds the ticks of a flow, and packets are summed per tick before the window.
+    After packets: one scan over even ranges of (flow, frame), so a flow may hold most packets. After ticks: an active limit
+    bounds the ticks of a flow, and packets are summed per tick before the window.
     """
+    if by == "frame_no":
+        return _state_after_packets(flow_packets)
     steps = flow_packets.select(
         *FLOW, F.col(by).alias("_step"), "frame_no", "ts_us", "src_ip", "a_ip", "a_port", "b_ip", "b_port", "protocol",
         "flow_key", "is_new", "direction", "dns", "tls", "quic", *_increments(),

@@ -57,6 +57,24 @@ def verdict_rows(vectors: DataFrame, flow_rows: DataFrame, detector: str = "beha
     ).join(flow_rows, [*FLOW, "trigger_frame"])
 
 
+def scored_snapshots(snapshot_rows: DataFrame) -> DataFrame:
+    """Verdicts of those snapshots that can be scored, with their class limits. Rows do not depend on each other."""
+    rows = snapshot_rows.where(F.array_contains(packets.scorable(), "behaviour"))
+    source_port, target_port = flows.orient("a_port", "b_port")
+    context = rows.select(
+        *FLOW, "trigger_frame", "flow_id", "last_seen_us", "observed_us",
+        F.col("src_ip").alias("source_ip"), source_port.alias("source_port"),
+        F.col("dst_ip").alias("destination_ip"), target_port.alias("destination_port"),
+        packets.flow_capabilities().alias("capabilities"),
+    )
+    return evidence.with_threshold(verdict_rows(features.behaviour_features(rows), context), RULE_THRESHOLDS)
+
+
+def alerts_of_snapshots(snapshot_rows: DataFrame) -> DataFrame:
+    """Snapshots through features, score and gate to alerts: what a stream does with each micro-batch."""
+    return alerts.build_alerts(evidence.evidence_gate(scored_snapshots(snapshot_rows)))
+
+
 class Stages:
     """Lazily built stages over one packet table."""
 
@@ -145,17 +163,7 @@ class Stages:
     @cached_property
     def verdicts(self) -> DataFrame:
         """Scored snapshots of TCP and UDP flows, with everything the gate and the alerts need."""
-        rows = self.snapshot_rows.where(F.array_contains(packets.scorable(), "behaviour"))
-        source_port, target_port = flows.orient("a_port", "b_port")
-        context = rows.select(
-            *FLOW, "trigger_frame", "flow_id", "last_seen_us", "observed_us",
-            F.col("src_ip").alias("source_ip"), source_port.alias("source_port"),
-            F.col("dst_ip").alias("destination_ip"), target_port.alias("destination_port"),
-            packets.flow_capabilities().alias("capabilities"),
-        )
-        return evidence.with_threshold(
-            verdict_rows(features.behaviour_features(rows), context), RULE_THRESHOLDS
-        )
+        return scored_snapshots(self.snapshot_rows)
 
     @cached_property
     def gated(self) -> DataFrame:

@@ -11,12 +11,16 @@ from flowloom.fixed import FLOW_CSV_COLUMNS, FLOW_CSV_FILES, FLOW_MODEL_FEATURES
 from flowloom.functions import text, values
 from flowloom.operators import evaluation, labelled, modeling
 from flowloom.operators.alerts import ALERT_KEY
+from flowloom.operators.flows import FLOW
 from flowloom.plans import inputs
 from flowloom.plans.catalog import big, prepared, query, r6, raw_labelled, stages
+from flowloom.plans.chain import alerts_of_snapshots
 from flowloom.plans.oracles import bigram_values, sql
+from flowloom.plans.queries_flows import _each
 from flowloom.session import checkpoint, shared_dir
 from flowloom.sources import captures, tables
 from flowloom.streaming import packets as streams
+from flowloom.streaming import windows as stream_windows
 
 c = F.col
 FEATURES = [f"feature__{n}" for n in FLOW_MODEL_FEATURES]
@@ -474,15 +478,15 @@ def alert_append(spark, sf):
 SLICES, FILES_PER_SLICE = 3, 4
 
 
-def _sliced(spark, rows: DataFrame, name: str, *keys: str) -> str:
+def _sliced(spark, rows: DataFrame, name: str, *keys: str, at: str = "ts_us") -> str:
     """Rows written as time slices, so that a stream takes them in order, and a closing marker after them."""
     path = scratch(spark, name)
-    span = rows.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")).first()
+    span = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     step = (span["hi"] - span["lo"]) // SLICES + 1
     for i in range(SLICES):
-        slice_rows = rows.where(((c("ts_us") - span["lo"]) / step).cast("int") == i)
+        slice_rows = rows.where(((c(at) - span["lo"]) / step).cast("int") == i)
         slice_rows.repartition(FILES_PER_SLICE, *keys).write.mode("append").parquet(path)
-    streams.closing_marker(rows).coalesce(1).write.mode("append").parquet(path)
+    streams.closing_marker(rows, at).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
@@ -549,3 +553,40 @@ def stream_host_counts(spark, sf):
     streams.drain(streams.host_counts(source), out, out + "-log")
     return spark.read.parquet(out).select("src_ip", "window_end_us", "packets", "bytes")
 
+
+def _windows_of_stream(spark, sf, host: str, sums: dict, distinct: dict) -> DataFrame:
+    rows = stages(spark, sf).flow_packets.select(
+        "capture_id", "frame_no", "ts_us", "src_ip", "dst_ip", "dst_port", "protocol", "packet_length", "is_new")
+    path, out = _sliced(spark, rows, "window-packets", host), scratch(spark, "windows")
+    source = streams.packet_stream(spark, path, rows.schema, FILES_PER_SLICE)
+    with streams.rocksdb(spark):
+        streams.drain(stream_windows.host_windows(source, host, sums, distinct), out, out + "-log")
+    return spark.read.parquet(out).select("frame_no", *sums, *distinct)
+
+
+@query("stream_source_windows", _each("""count(*) as packets, cast(sum(e.packet_length) as bigint) as bytes, count(*) filter (e.is_new) as new_flows,
+  count(distinct e.dst_ip) as destinations, count(distinct e.dst_port) as ports""", "e.src_ip = p.src_ip"))
+def stream_source_windows(spark, sf):
+    return _windows_of_stream(spark, sf, "src_ip", {"packets": F.lit(1), "bytes": c("packet_length"), "new_flows": c("is_new").cast("int")},
+                              {"destinations": c("dst_ip"), "ports": c("dst_port")})
+
+
+@query("stream_target_windows", _each("""count(*) as packets, count(*) filter (e.protocol = 'UDP') as udp_packets, count(distinct e.src_ip) as sources""", "e.dst_ip = p.dst_ip"))
+def stream_target_windows(spark, sf):
+    return _windows_of_stream(spark, sf, "dst_ip", {"packets": F.lit(1), "udp_packets": (c("protocol") == "UDP").cast("int")}, {"sources": c("src_ip")})
+
+
+@query("stream_scores", sql("select alert_id, flow_id, threat_class, decision from kept_alerts", "kept_alerts"))
+def stream_scores(spark, sf):
+    """Snapshots as a stream: features, scores, gate and alerts by micro-batch, written once; a second stream suppresses them."""
+    rows = checkpoint(stages(spark, sf).snapshot_rows)
+    path, scored, out = _sliced(spark, rows, "snapshots", *FLOW, at="last_seen_us"), scratch(spark, "scored"), scratch(spark, "kept-scores")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_SLICE).parquet(path)
+    # All alerts of a key that a micro-batch brings are one file, so the next stream takes them in order.
+    by_key = lambda batch: alerts_of_snapshots(batch).select(*ALERT_KEY, "ts_us", "flow_id", "alert_id").repartition(FILES_PER_SLICE, *ALERT_KEY)
+    streams.score_batches(source, by_key, scored, scored + "-log").awaitTermination()
+    schema = spark.read.parquet(f"{scored}/batch=0").schema
+    alerts = streams.packet_stream(spark, f"{scored}/batch=*", schema, FILES_PER_SLICE)
+    with streams.rocksdb(spark):
+        streams.drain(streams.suppress_alerts(alerts), out, out + "-log")
+    return spark.read.parquet(out).select("alert_id", "flow_id", "threat_class", "decision")
