@@ -61,10 +61,14 @@ def train_forest(
     return Pipeline(stages=[*assembly_stages(columns), forest]).fit(rows)
 
 
-def score_forest(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score_forest(model: PipelineModel, df: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+    """Adds ``raw``; with ``classes`` it has one entry for each, also for last ones that the training rows did not show."""
     columns = [c for c in df.columns if c.startswith(("feature__", "available__"))]
     scored = model.transform(as_matrix(df, columns))
-    return scored.withColumn("raw", vector_to_array("probability")).select(*df.columns, "raw")
+    raw = vector_to_array("probability")
+    if classes is not None:
+        raw = F.array(*[F.coalesce(F.get(raw, F.lit(i)), F.lit(0.0)) for i in range(len(classes))])
+    return scored.withColumn("raw", raw).select(*df.columns, "raw")
 
 
 def train_boosted(
@@ -106,17 +110,24 @@ def score_boosted(package: tuple[PipelineModel, list], df: DataFrame) -> DataFra
 
 
 def fit_sigmoid(
-    scores: DataFrame, classes: Sequence[str], probability: str = "raw", label_index: str = "label_idx"
+    scores: DataFrame, classes: Sequence[str], probability: str = "raw", label_index: str = "label_idx", *, keep_unseen: bool = False
 ) -> DataFrame:
-    """Slope and intercept per class: a weakly regularised logistic fit on the score's logit."""
+    """Slope and intercept per class: a weakly regularised logistic fit on the score's logit.
+
+    A class without positive or without negative rows has no fit: an error, or with ``keep_unseen`` slope 1 and intercept 0, so it keeps its score.
+    """
     k = len(classes)
     support = scores.agg(
         *[F.count_if(F.col(label_index) == i).alias(f"p{i}") for i in range(k)], F.count("*").alias("n")
     ).first()
-    if any(support[f"p{i}"] in (0, support["n"]) for i in range(k)):
+    unseen = [support[f"p{i}"] in (0, support["n"]) for i in range(k)]
+    if any(unseen) and not keep_unseen:
         raise ValueError("calibration needs positive and negative rows for each class")
     rows = []
     for i, name in enumerate(classes):
+        if unseen[i]:
+            rows.append((i, name, 1.0, 0.0))
+            continue
         column = scores.select(
             logit(F.get(F.col(probability), F.lit(i))).alias("x"), (F.col(label_index) == i).cast("double").alias("y")
         )
