@@ -92,3 +92,38 @@ def test_alerts_of_a_group_equal_those_of_single_keys():
             last[r[:5]] = r[5]
             want.append(r)
     assert sorted(got) == sorted(want) and store.calls < 30 and not store.rows  # 30 keys, four batches
+
+
+def test_chunks_of_a_chain_are_worked_in_whole_tables():
+    import numpy as np
+    import pyarrow as pa
+
+    from flowloom.operators import scan
+
+    rng = np.random.default_rng(5)
+    run = np.sort(rng.integers(0, 900, 6000))
+    times = np.concatenate([np.sort(rng.choice(1600, n, replace=False)) for n in np.unique(run, return_counts=True)[1]])
+    enter = np.repeat(rng.integers(0, 200, 900), np.bincount(run, minlength=900))
+    table = pa.table({"k": run, "_run": run, "ts_us": times, "_enter": enter})
+    batches = [b for lo in range(0, 6000, 700) for b in table.slice(lo, 700).to_batches()]
+    whole = list(scan._whole_runs(iter(batches)))
+    assert len(whole) <= len(batches) + 1 and sum(t.num_rows for t in whole) == 6000  # not one for each of 900 runs
+    kept = pa.Table.from_batches(scan._kept(iter(batches), 100, ["k", "ts_us"])).to_pydict()
+    doors = pa.Table.from_batches(scan._chunk_tables(iter([b.drop_columns(["_enter"]) for b in batches]), 100, 1600)).to_pydict()
+    want, tables = [], []
+    for k in np.unique(run):
+        own = times[run == k]
+
+        def chain(due, own=own):
+            out = []
+            for t in own:
+                if t >= due:
+                    out.append(int(t))
+                    due = t + 100
+            return out
+
+        want += [(k, t) for t in chain(enter[run == k][0])]
+        first = int(np.searchsorted(own, 100)) + 1
+        tables += [(k, t, chain(t)[-1]) for t in own[:first]]
+    assert list(zip(kept["k"], kept["ts_us"])) == want
+    assert list(zip(doors["k"], doors["ts_us"], doors["last_us"])) == tables
