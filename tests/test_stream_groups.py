@@ -127,3 +127,22 @@ def test_chunks_of_a_chain_are_worked_in_whole_tables():
         tables += [(k, t, chain(t)[-1]) for t in own[:first]]
     assert list(zip(kept["k"], kept["ts_us"])) == want
     assert list(zip(doors["k"], doors["ts_us"], doors["last_us"])) == tables
+
+
+def test_closing_marker_is_no_alert_and_nulls_in_a_key_are_a_key(spark, tmp_path):
+    rows = [("DDOS", f"s{i % 3}" if i % 4 else None, "d0", "behaviour", "ALERT", (i + 50) * 20_000_000, "f", f"a{i:02}") for i in range(40)]
+    schema = ", ".join(f"{n} string" for n in ALERT_KEY) + ", ts_us long, flow_id string, alert_id string"
+    for lo in (0, 20):
+        spark.createDataFrame(rows[lo : lo + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.createDataFrame(rows, schema)
+    streams.closing_marker(frame).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = streams.packet_stream(spark, str(tmp_path / "in"), frame.schema, 1)
+    with streams.rocksdb(spark):
+        streams.drain(streams.suppress_alerts(source), str(tmp_path / "out"), str(tmp_path / "log"))
+    want, last = [], {}
+    for r in rows:
+        if r[:5] not in last or r[5] - last[r[:5]] >= 60_000_000:
+            last[r[:5]] = r[5]
+            want.append(r[-1])
+    got = [r["alert_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == want
