@@ -6,6 +6,7 @@ Worker functions use Arrow batches; a worker sees one batch of a partition at a
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import partial
@@ -63,13 +64,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system: Arrow's and, with glibc, that of NumPy and Python."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _then_give_back(batches: Iterator[pa.RecordBatch], work: Callable[..., Iterable[dict | pa.RecordBatch]]) -> Iterator[dict | pa.RecordBatch]:
+    """A worker outlives its task and waits beside the next stages: what the task has freed is not kept until then."""
+    try:
+        yield from work(batches)
+    finally:
+        give_back()
+
+
 def map_batches(df: DataFrame, work: Callable[..., Iterable[dict | pa.RecordBatch]], schema: str, **fixed) -> DataFrame:
     """``mapInArrow`` with bounded batches of texts."""
     spark = df.sparkSession
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > TEXT_BATCH_ROWS:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
-    return df.mapInArrow(partial(work, **fixed) if fixed else work, schema)
+    return df.mapInArrow(partial(_then_give_back, work=partial(work, **fixed)), schema)
 
 
 def batch_of(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
